@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, exact_dedup, language_id, packing, quality, secrets, substring_dedup, token_output, url_filter
+from lectern.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing, quality, secrets, substring_dedup, token_output, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +102,34 @@ FROM r
 """
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents")).drop("class")
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i)
+  WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION
+  SELECT reach.doc_id, b FROM reach JOIN links ON a = other
+)
+SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(other) AS component_id
+FROM documents d JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id)
+GROUP BY d.doc_id
+"""
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -130,6 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_url_filters": op4_url_filters,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_token_output": op7_token_output,
     "op8_secret_scan": op8_secret_scan,
@@ -140,5 +169,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
     "op3_exact_dedup": OP3_SQL,
+    "op5_ngram_jaccard": OP5_SQL,
     "op4_url_filters": OP4_SQL,
 }
