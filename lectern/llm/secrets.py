@@ -29,6 +29,7 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 DIGIT = re.compile(r"[0-9]")
 #: Characters that the models tell apart; all others are one more symbol.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
+BACKOFF = 20.0
 SYMBOLS = len(ALPHABET) + 2  # others, and the start
 CODE = np.full(256, len(ALPHABET), np.int64)
 CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
@@ -66,8 +67,9 @@ def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """log P(random) - log P(ordinary) of each step, a SYMBOLS x SYMBOLS table.
 
     All rows are read: each task counts the steps of its own labelled tokens in two fixed tables, and
-    only these sums (at most 2 * SYMBOLS ** 2 numbers) reach the driver. Every count starts at one, so
-    without any labelled secret the model of random strings is the uniform one.
+    only these sums (at most 2 * SYMBOLS ** 2 numbers) reach the driver. A character's
+    successors are smoothed with BACKOFF times how frequent each character is in all, and those
+    counts start at one, so without any labelled secret random strings are uniform.
     """
     prepare(docs.sparkSession)
 
@@ -87,10 +89,12 @@ def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(step.astype(np.int32)), pa.array(counts[label, step])], names=["label", "step", "n"])
 
     counted = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "label int, step int, n long")
-    table = np.ones((2, SYMBOLS, SYMBOLS))
+    table = np.zeros((2, SYMBOLS, SYMBOLS))
     for r in counted.groupBy("label", "step").agg(F.sum("n").alias("n")).collect():
         table[r["label"]].flat[r["step"]] += r["n"]
-    p = table / table.sum(axis=2, keepdims=True)
+    single = table.sum(axis=1, keepdims=True) + 1
+    single /= single.sum(axis=2, keepdims=True)
+    p = (table + BACKOFF * single) / (table.sum(axis=2, keepdims=True) + BACKOFF)
     return np.log(p[1]) - np.log(p[0])
 
 
