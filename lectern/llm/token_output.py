@@ -96,12 +96,17 @@ class ShardReader:
         self.seq_len = self.file.schema.field("input_ids").type.list_size
         self._sizes = [self.file.get_batch(k).num_rows for k in range(self.file.num_record_batches)]
         self.firsts = np.concatenate([[0], np.cumsum(self._sizes)]).astype(np.int64)
+        self._open: tuple[int, np.ndarray] = (-1, np.zeros(0, np.uint32))
+
+    def ids(self, k: int) -> np.ndarray:
+        """The ids of the k-th batch as [sequences, seq_len], without copying."""
+        if self._open[0] != k:
+            self._open = (k, self.file.get_batch(k).column(0).flatten().to_numpy(zero_copy_only=True).reshape(-1, self.seq_len))
+        return self._open[1]
 
     def batch(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k-th batch as [sequences, seq_len]: ids without copying, and the mask."""
-        got = self.file.get_batch(k)
-        ids = got.column(0).flatten().to_numpy(zero_copy_only=True).reshape(-1, self.seq_len)
-        return ids, got.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, self.seq_len)
+        """The ids and the mask of the k-th batch, both as [sequences, seq_len]."""
+        return self.ids(k), self.file.get_batch(k).column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, self.seq_len)
 
     def sequence(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         k = int(np.searchsorted(self.firsts, n, side="right")) - 1
@@ -113,7 +118,7 @@ class ShardReader:
         while start < end:
             k = int(np.searchsorted(self.firsts, start // self.seq_len, side="right")) - 1
             begin = int(self.firsts[k]) * self.seq_len
-            flat = self.batch(k)[0].reshape(-1)[start - begin : end - begin]
+            flat = self.ids(k).reshape(-1)[start - begin : end - begin]
             yield flat
             start += len(flat)
 
