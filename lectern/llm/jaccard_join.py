@@ -13,6 +13,10 @@
 
 A list too large for one block is split into chunks; within its group a chunk is searched by itself,
 and different groups' chunks are paired where their sizes allow a link.
+
+Sets are long, so a block first meets as bitmaps of two to four bits a gram. A bit that only one of
+two sets has stands for a gram that only this one has, which bounds their intersection from above.
+Only sets that may still link with another of their block are then sent there in full.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ BLOCK_GRAMS, BUCKET_POSTINGS = 400_000, 1_000_000
 COUNTED, LOCAL_COUNT, HEAVY_GRAMS = 2_000_000, 8, 1 << 17
 #: Sets that a task remembers, so as to index the copies of each once.
 REMEMBERED = 200_000
+#: Stands for a null identifier where the text of a set is looked up.
+NO_ID = -(1 << 63)
 #: DivideSkip: how much cheaper merging an entry is than probing for it.
 MU = 0.0085
 
@@ -69,15 +75,24 @@ def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
+def bitmap(grams: np.ndarray) -> np.ndarray:
+    """Bits for the grams, as words; the width is a power of two from 2n to 4n bits, 64 at least."""
+    width = max(64, 1 << (2 * len(grams) - 1).bit_length())
+    bits = np.zeros(width, np.uint8)
+    bits[(grams & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
 def signatures(texts: DataFrame, n_words: int) -> DataFrame:
-    """doc_id, n, class for each row of doc_id, text."""
+    """doc_id, n, class, bits for each row of doc_id, text."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             sets = [gram_set(t, n_words) for t in blobs(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())], names=["doc_id", "n", "class"])
+            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n", "class", "bits"])
 
-    return texts.mapInArrow(run, "doc_id long, n long, class long")
+    return texts.mapInArrow(run, "doc_id long, n long, class long, bits binary")
 
 
 def heavy_grams(texts: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -231,35 +246,88 @@ def divide_skip(sets: list[np.ndarray], groups: np.ndarray) -> tuple[np.ndarray,
     return group, links
 
 
-def searcher(with_groups: bool) -> Callable[[pa.Table], pa.Table]:
-    """Searches one block; a, b: for each set that joined another, the two classes."""
+def may_link(sizes: np.ndarray, groups: np.ndarray, bits: list[np.ndarray]) -> np.ndarray:
+    """Which sets may link with one of another group, by their bitmaps; sets are sorted by size, ascending.
 
-    def run(table: pa.Table) -> pa.Table:
-        members: dict[int, tuple[np.ndarray, int]] = {}
-        known = table.column("root").to_pylist() if with_groups else table.column("class").to_pylist()
-        for c, raw, root in zip(table.column("class").to_pylist(), table.column("set").to_pylist(), known, strict=True):
-            members[c] = (np.frombuffer(raw, np.uint64), root)
-        ordered = sorted(members, key=lambda c: (len(members[c][0]), c))
-        before = np.unique([members[c][1] for c in ordered], return_inverse=True)[1]
-        after, _ = divide_skip([members[c][0] for c in ordered], before)
-        edges = []
-        first: dict[int, int] = {}
-        for c, g in zip(ordered, after.tolist(), strict=True):
-            if first.setdefault(g, c) != c:
-                edges.append((first[g], c))
-        return pa.table([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    Sets that link differ in size by a third at most, so in width by one doubling at most; the wider
+    bitmap is folded to the width of the other.
+    """
+    out = np.zeros(len(sizes), bool)
+    words = np.array([len(b) for b in bits])
+    for width in np.unique(words).tolist():
+        own, wider = np.flatnonzero(words == width), np.flatnonzero(words == 2 * width)
+        wider = wider[NUM * sizes[wider] <= DEN * int(sizes[own[-1]])]
+        rows = np.concatenate([own, wider])
+        grid = np.array([bits[k] if words[k] == width else bits[k][:width] | bits[k][width:] for k in rows.tolist()])
+        n, group = sizes[rows], groups[rows]
+        last = np.searchsorted(NUM * n, DEN * n[: len(own)], side="right")
+        for k in range(len(own)):
+            near = np.arange(k + 1, last[k])
+            near = near[group[near] != group[k]]
+            for at in range(0, len(near), max(1, (1 << 20) // width)):
+                part = near[at : at + max(1, (1 << 20) // width)]
+                both = np.bitwise_count(grid[part] & grid[k]).sum(axis=1, dtype=np.int64)
+                mine = int(np.bitwise_count(grid[k]).sum(dtype=np.int64))
+                theirs = np.bitwise_count(grid[part]).sum(axis=1, dtype=np.int64)
+                most = np.minimum(n[k] - (mine - both), n[part] - (theirs - both))
+                hit = part[(NUM + DEN) * most >= NUM * (n[k] + n[part])]
+                out[rows[hit]] = True
+                out[rows[k]] |= len(hit) > 0
+    return out
+
+
+def sift(table: pa.Table) -> pa.Table:
+    """block, class, root, n of the sets of one block that may link with one of another group."""
+    rows = {c: k for k, c in enumerate(table.column("class").to_pylist())}  # each class once
+    sizes = table.column("n").to_numpy()
+    order = np.array(sorted(rows.values(), key=lambda k: sizes[k]), np.int64)
+    raw = table.column("bits").to_pylist()
+    keep = order[may_link(sizes[order], table.column("root").to_numpy()[order], [np.frombuffer(raw[k], np.uint64) for k in order.tolist()])]
+    return table.select(["block", "class", "root", "n"]).take(pa.array(keep))
+
+
+def search_block(table: pa.Table) -> pa.Table:
+    """a, b: for each set of one block that joined another, the two classes."""
+    members: dict[int, tuple[np.ndarray, int]] = {}
+    for c, raw, root in zip(table.column("class").to_pylist(), table.column("set").to_pylist(), table.column("root").to_pylist(), strict=True):
+        members[c] = (np.frombuffer(raw, np.uint64), root)
+    ordered = sorted(members, key=lambda c: (len(members[c][0]), c))
+    before = np.unique([members[c][1] for c in ordered], return_inverse=True)[1]
+    after, _ = divide_skip([members[c][0] for c in ordered], before)
+    edges = []
+    first: dict[int, int] = {}
+    for c, g in zip(ordered, after.tolist(), strict=True):
+        if first.setdefault(g, c) != c:
+            edges.append((first[g], c))
+    return pa.table([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def search(blocks: DataFrame, texts: DataFrame, classes: DataFrame, n_words: int) -> DataFrame:
+    """Edges between classes of the same block with different roots; ``blocks``, a materialized table, has block, class, root, n.
 
-    return run
+    A class is in one block of the first rounds, and later in as many as it has open lists or chunks
+    to meet, so no class is a hot key. Blocks meet as bitmaps, then with the sets of what is left.
+    """
+    few = F.broadcast(blocks) if is_small(blocks) else blocks
+    near = classes.select("class", "n", "bits").join(few.drop("n"), "class").groupBy("block").applyInArrow(sift, "block long, class long, root long, n long")
+    near = materialize(merge_blocks(materialize(near, "near")), "near")
+    speakers = materialize(classes.join(near.select("class").distinct(), "class", "left_semi").select(F.col("speaker").alias("key")).distinct(), "speakers")
+    sets = class_sets(only_ids(texts, speakers, "key"), n_words)
+    few = (F.broadcast(near) if is_small(near) else near).drop("n")
+    return sets.join(few, "class").groupBy("block").applyInArrow(search_block, "a long, b long")
 
 
-def search(blocks: DataFrame, sets: DataFrame, with_groups: bool) -> DataFrame:
-    """Edges between classes of the same block; ``blocks``, a materialized table, has block, class (and root).
+def merge_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks of the same smallest class become one where that is no larger than a block may be.
 
-    A class is in one block of the first rounds, and later in as many as it has open lists or chunks
-    to meet, so no class is a hot key.
+    Documents that share a passage share many lists, and so each set goes to fewer blocks.
     """
-    few = F.broadcast(blocks) if is_small(blocks) else blocks
-    return sets.join(few, "class").groupBy("block").applyInArrow(searcher(with_groups), "a long, b long")
+    led = blocks.join(blocks.groupBy("block").agg(F.min("class").alias("lead")), "block")
+    union = materialize(led.select("lead", "class", "root", "n").distinct(), "merged")
+    fits = materialize(union.groupBy("lead").agg(F.sum("n").alias("grams")).filter(F.col("grams") <= BLOCK_GRAMS).select("lead"), "fits")
+    columns = ["block", "class", "root", "n"]
+    whole = union.join(fits, "lead").withColumn("block", F.xxhash64("lead", F.lit("lead"))).select(*columns)
+    return whole.unionByName(led.join(fits, "lead", "left_anti").select(*columns))
 
 
 def chunk(salt: int) -> Column:
@@ -268,34 +336,31 @@ def chunk(salt: int) -> Column:
     return F.pmod(F.xxhash64("class", F.lit(salt)), parts)
 
 
-def link_classes(texts: DataFrame, signed: DataFrame, n_words: int, first_rounds: int = 2) -> DataFrame:
+def link_classes(texts: DataFrame, classes: DataFrame, n_words: int, first_rounds: int = 2) -> DataFrame:
     """class, root: the groups that links form, for all classes that link with another."""
     need = F.col("n") - F.ceil(F.col("n") * NUM / DEN).cast("long") + 1
-    total = signed.filter("n > 0").agg(F.sum(need)).first()[0] or 0
+    total = classes.agg(F.sum(need * F.col("k"))).first()[0] or 0
     dealt = postings(texts, heavy_grams(texts, n_words), max(1, -(-total // BUCKET_POSTINGS)), n_words)
     lists = materialize(dealt.groupBy("bucket").applyInArrow(inverted_lists, LISTS), "lists")
     lists = materialize(lists.dropDuplicates(["list"]), "lists")
     member = lists.select("list", "size", "grams", F.explode(F.arrays_zip("classes", "sizes")).alias("m")).select("list", "size", "grams", F.col("m.classes").alias("class"), F.col("m.sizes").alias("n"))
-    listed = materialize(member.select("class").distinct(), "listed")
-    speaker = signed.join(listed, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    sets = materialize(class_sets(only_ids(texts, materialize(speaker.select("doc_id"), "speakers"), "doc_id"), n_words), "sets")
     edges: DataFrame | None = None
     open_lists = materialize(member.withColumn("root", F.col("class")), "members")
     for salt in range(first_rounds):
         if open_lists.isEmpty():
             break
-        home = open_lists.groupBy("class").agg(F.max(F.struct("size", "list", "grams")).alias("h")).select("class", F.col("h.list").alias("list"), F.col("h.grams").alias("grams"))
-        blocks = home.select(F.xxhash64("list", chunk(salt)).alias("block"), "class")
+        home = open_lists.groupBy("class").agg(F.max(F.struct("size", "list", "grams")).alias("h"), F.first("n").alias("n")).select("class", "n", F.col("h.list").alias("list"), F.col("h.grams").alias("grams"))
+        blocks = home.select(F.xxhash64("list", chunk(salt)).alias("block"), "class", F.col("class").alias("root"), "n")
         crowded = blocks.groupBy("block").agg(F.count("*").alias("k")).filter("k > 1").select("block")
-        found = search(materialize(blocks.join(crowded, "block", "left_semi"), "blocks"), sets, False)
+        found = search(materialize(blocks.join(crowded, "block", "left_semi"), "blocks"), texts, classes, n_words)
         edges = materialize(found if edges is None else edges.unionByName(found), "links")
         open_lists = still_open(member, components(edges))
     if not open_lists.isEmpty():
-        blocks = materialize(pair_chunks(open_lists), "blocks")
-        found = search(blocks, sets, True)
+        blocks = merge_blocks(materialize(pair_chunks(open_lists), "blocks"))
+        found = search(materialize(blocks, "blocks"), texts, classes, n_words)
         edges = found if edges is None else edges.unionByName(found)
     if edges is None:
-        return signed.sparkSession.createDataFrame([], "class long, root long")
+        return classes.sparkSession.createDataFrame([], "class long, root long")
     return components(edges).withColumnRenamed("node", "class")
 
 
@@ -308,13 +373,13 @@ def still_open(member: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def pair_chunks(members: DataFrame) -> DataFrame:
-    """block, class, root: so that any two members of a list with different groups meet in a block.
+    """block, class, root, n: so that any two members of a list with different groups meet in a block.
 
     A list of one chunk is one block. In a larger one, the members are split into ranges of their
     size; the largest group meets the others, and the others each other, only where one range can
     link with the other (neither more than DEN / NUM times as large).
     """
-    small = members.filter(F.col("grams") <= BLOCK_GRAMS).select(F.xxhash64("list").alias("block"), "class", "root")
+    small = members.filter(F.col("grams") <= BLOCK_GRAMS).select(F.xxhash64("list").alias("block"), "class", "root", "n")
     large = members.filter(F.col("grams") > BLOCK_GRAMS)
     counted = large.groupBy("list", "root").agg(F.count("*").alias("k"))
     top = counted.groupBy("list").agg(F.max(F.struct("k", "root")).alias("t")).select("list", F.col("t.root").alias("top"))
@@ -329,7 +394,7 @@ def pair_chunks(members: DataFrame) -> DataFrame:
     block = F.xxhash64("list", "l_chunk", "is_top", "chunk")
     sides = pairs.select("list", F.explode(F.array(F.struct(F.lit(False).alias("is_top"), F.col("l_chunk").alias("chunk")), F.struct("is_top", "chunk"))).alias("s"), block.alias("block"))
     sides = sides.select("list", "s.is_top", "s.chunk", "block").distinct()
-    return small.unionByName(sides.join(cut, ["list", "is_top", "chunk"]).select("block", "class", "root"))
+    return small.unionByName(sides.join(cut, ["list", "is_top", "chunk"]).select("block", "class", "root", "n"))
 
 
 def class_sets(texts: DataFrame, n_words: int) -> DataFrame:
@@ -340,7 +405,7 @@ def class_sets(texts: DataFrame, n_words: int) -> DataFrame:
             sets = [gram_set(t, n_words) for t in blobs(batch.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "set"])
 
-    return texts.mapInArrow(run, "class long, set binary")
+    return texts.select("key", "text").mapInArrow(run, "class long, set binary")
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = N_WORDS) -> DataFrame:
@@ -353,11 +418,14 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     linking but never name a component. Other columns are not read. Whole texts are compared.
     """
     prepare(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    signed = materialize(signatures(texts, n_words), "signatures")
-    classes = materialize(signed.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("low"), F.count("*").alias("k")), "classes")
-    groups = materialize(link_classes(texts, signed, n_words), "groups")
-    rooted = materialize(classes.join(groups, "class", "left").withColumn("root", F.coalesce("root", "class")), "rooted")
+    identifier = F.col(id_col).cast("long")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+    signed = materialize(signatures(docs.select(identifier.alias("doc_id"), text), n_words), "signatures")
+    key = F.coalesce("doc_id", F.lit(NO_ID))
+    one = (F.min("doc_id").alias("low"), F.max(key).alias("speaker"), F.count("*").alias("k"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    classes = materialize(signed.filter("n > 0").groupBy("class").agg(*one), "classes")
+    groups = materialize(link_classes(docs.select(F.coalesce(identifier, F.lit(NO_ID)).alias("key"), text), classes, n_words), "groups")
+    rooted = materialize(classes.select("class", "low", "k").join(groups, "class", "left").withColumn("root", F.coalesce("root", "class")), "rooted")
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("m"))
     named = materialize(join_sized(rooted, materialize(lowest, "lowest"), ["root"], "m").select("class", "k", "component_id"), "named")
     full = join_sized(signed.filter("n > 0"), named, ["class"], "k")
