@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +22,11 @@ FUNCTION_WORDS = tuple(
 TOP_K, NGRAM_MAX, MIN_CHARS = 15, 3, 3
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, although lambdas in it use it for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def candidate_terms(text: Column, ngram_max: int = NGRAM_MAX, min_chars: int = MIN_CHARS, stopwords: tuple[str, ...] = FUNCTION_WORDS) -> Column:
     """Array of n-grams, one for each occurrence. A token is bad if it, or its part before . or /, is a stopword, or
     if it looks like a citation; an n-gram is dropped for a bad token, for repeating one token, for fewer than
@@ -29,22 +36,21 @@ def candidate_terms(text: Column, ngram_max: int = NGRAM_MAX, min_chars: int = M
     def fine(t: Column) -> Column:
         return ~F.split(t, "[./]")[0].isin(*stopwords) & ~t.isin(*stopwords) & ~is_citation_artifact(t)
 
-    def grams(pair: Column, n: int) -> Column:
-        words, good = pair["w"], pair["g"]
+    def grams(words: Column, good: Column, n: int) -> Column:
         count = F.size(words) - (n - 1)
         places = F.when(count >= 1, F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).otherwise(F.array().cast("array<int>"))
         kept = F.filter(places, lambda i: F.forall(F.slice(good, i, n), lambda x: x))
         return F.transform(kept, lambda i: F.array_join(F.slice(words, i, n), " "))
 
-    pair = F.struct(tokens.alias("w"), F.transform(tokens, fine).alias("g"))
-    every = F.concat(*(grams(pair, n) for n in range(1, ngram_max + 1)))
+    def all_grams(words: Column) -> Column:
+        return bind(F.transform(words, fine), lambda good: F.concat(*(grams(words, good, n) for n in range(1, ngram_max + 1))))
 
     def keyword(term: Column) -> Column:
         parts = F.split(term, " ")
         repeats = (F.size(parts) > 1) & (F.size(F.array_distinct(parts)) == 1)
         return ~repeats & (F.length(F.replace(term, F.lit(" "), F.lit(""))) >= min_chars) & term.rlike("[a-z]")
 
-    return F.filter(every, keyword)
+    return F.filter(bind(tokens, all_grams), keyword)
 
 
 def doc_term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
