@@ -9,6 +9,8 @@ repeat, and a bounded memo holds their ids.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import public_tokenizers
@@ -16,7 +18,7 @@ from tokenizers import Tokenizer
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Units longer than this are encoded each time; the memo is emptied when it has so many entries.
-MEMO_CHARS, MEMO_ENTRIES = 40, 600_000
+MEMO_CHARS, MEMO_ENTRIES = 40, 1_500_000
 RUN = re.compile(r"\s\s")
 CUT = re.compile(r"(?<=\S)(?= \S)")
 #: A word of letters; what follows it, unless a letter, is a word of its own.
@@ -24,7 +26,10 @@ WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def pack(ids: list[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+    out = array("I", ids)  # unsigned, of four bytes
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 class _Memo(dict):
