@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +109,12 @@ def markov_spans(text: str, ratio: np.ndarray, threshold: float) -> list[tuple[i
     return out
 
 
+def apart(spans: list[tuple[int, int, str]], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans that overlap none of ``base``, which is sorted by start."""
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))
+    return [s for s in spans if not (k := bisect_left(starts, s[1])) or reach[k - 1] <= s[0]]
+
+
 def render(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]))))
 
@@ -126,7 +134,7 @@ def scan(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: s
             rows = []
             for text in batch.column(1).to_pylist():
                 base = base_spans(text or "")
-                more = [s for s in markov_spans(text or "", ratio, threshold) if not any(a < s[1] and s[0] < b for a, b, _ in base)]
+                more = apart(markov_spans(text or "", ratio, threshold), base)
                 kinds = [k for _, _, k in base]
                 rows.append((*(kinds.count(k) for k in KINDS[:3]), len(more), hashlib.sha256(render(base).encode()).hexdigest(), render(base + more)))
             cols = list(zip(*rows, strict=True)) or [()] * 6
