@@ -25,14 +25,6 @@ def normalized(a: Column) -> Column:
     return F.when(length > 0, F.transform(a, lambda x: x.cast("double") / length)).otherwise(F.transform(a, lambda x: x.cast("double")))
 
 
-def exclusive_quartile(values: Column) -> Column:
-    """First quartile of a sorted array by the exclusive method: at position (n + 1) / 4."""
-    n = F.size(values)
-    at = F.lit(0.25) * (n + 1)
-    low = F.least(F.greatest(F.floor(at).cast("int"), F.lit(1)), n - 1)
-    return F.try_element_at(values, low) + (at - low) * (F.try_element_at(values, low + 1) - F.try_element_at(values, low))
-
-
 def overlap_fraction(expected: Column, found: Column) -> Column:
     """Share of expected names that contain, or are contained in, a found one; null without any expected."""
     hit = F.filter(expected, lambda e: F.exists(found, lambda f: F.contains(F.lower(f), F.lower(e)) | F.contains(F.lower(e), F.lower(f))))

@@ -8,11 +8,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.vectors import exclusive_quartile
-
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A checkpoint in the folder that ``spark.checkpoint.dir`` names; one is made only where it is unset."""
@@ -55,13 +53,18 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def min_degree(degree: DataFrame) -> DataFrame:
     """One row, min_degree: the rounded exclusive first quartile of positive degrees, at least 1; 1 for fewer than four.
 
-    Degrees are counted by value first; as many rows as there are different degrees meet, weighted.
+    Degrees are counted by value first; the two order statistics come from cumulative counts over one
+    row for each different degree, so no value is repeated and none is capped.
     """
     values = degree.filter("degree > 0").groupBy("degree").agg(F.count("*").alias("n"))
-    spread = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("degree", "n"))), lambda x: F.array_repeat(x["degree"], F.least(x["n"], F.lit(1 << 20)).cast("int"))))
-    gathered = values.agg(spread.alias("v"), F.sum("n").alias("n"))
-    value = F.greatest(F.lit(1), F.bround(exclusive_quartile(F.col("v"))).cast("long"))
-    return gathered.select(F.when(F.coalesce("n", F.lit(0)) < 4, F.lit(1)).otherwise(value).cast("long").alias("min_degree"))
+    total, at = F.sum("n").over(Window.partitionBy()), F.lit(0.25) * (F.col("total") + 1)
+    below = F.sum("n").over(Window.orderBy("degree").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    low = F.least(F.greatest(F.floor(at), F.lit(1)), F.col("total") - 1)
+    ranked = values.select("degree", below.alias("upto"), total.alias("total")).withColumn("low", low).withColumn("part", at - F.col("low"))
+    first, second = (F.min(F.when(F.col("upto") >= F.col("low") + k, F.col("degree"))) for k in (0, 1))
+    found = ranked.agg(F.max("total").alias("total"), F.max("part").alias("part"), first.alias("first"), second.alias("second"))
+    value = F.greatest(F.lit(1), F.bround(F.col("first") + F.col("part") * (F.col("second") - F.col("first"))).cast("long"))
+    return found.select(F.when(F.coalesce("total", F.lit(0)) < 4, F.lit(1)).otherwise(value).cast("long").alias("min_degree"))
 
 
 def ancestors(edges: DataFrame) -> DataFrame:
