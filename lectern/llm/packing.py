@@ -6,8 +6,10 @@ themselves. Each other piece goes to the open bin, or a new one, for which the s
 (number of open bins with g ids left) squared becomes smallest.
 
 The pieces are dealt at random to shards of bounded size, longest first within each. Bins that stay
-emptier than ``slack`` at the end of a shard are opened again, and their pieces meet those of 16
-other shards in the next round, until one shard is left; with each round fewer pieces go on.
+emptier than ``slack`` at the end of a shard are opened again, and their pieces are counted and dealt
+anew to as many shards as they need. Where more than half of a round's pieces would go on, as when
+too many are of one length to fit anywhere, one more round closes all its bins; so does a round of
+one shard.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from lectern.llm.common import materialize, prepare
 from lectern.llm.tokens import encoder, vocabulary_path
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Pieces of a shard, and shards that meet in the next round.
-SHARD_PIECES, FAN_IN = 50_000, 16
+#: Pieces of a shard, on average; they are dealt by hash.
+SHARD_PIECES = 50_000
 NEVER = np.iinfo(np.int64).max
 
 
@@ -113,19 +115,22 @@ def pack(cut_up: DataFrame, capacity: int = 1024, slack: int = 4) -> DataFrame:
     spark = cut_up.sparkSession
     whole = cut_up.filter(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     todo = cut_up.filter(F.col("length") < capacity)
-    shards = max(1, -(-todo.count() // SHARD_PIECES))
-    todo = todo.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
-    done, level = [whole], 0
+    left, done, level, last = todo.count(), [whole], 0, False
     placed = f"{PIECE}, shard long, sequence_id long, offset long"
     while True:
-        last = shards == 1
-        place = placer(capacity, slack, level, last)
-        result = materialize(todo.groupBy("shard").applyInArrow(place, placed), f"packed{level}")
+        shards = max(1, -(-left // SHARD_PIECES))
+        last = last or shards == 1
+        # the row's number keeps rows repeated in full, or without identifier, from meeting in one shard
+        dealt = todo.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id(), F.lit(level)), F.lit(shards)))
+        result = materialize(dealt.groupBy("shard").applyInArrow(placer(capacity, slack, level, last), placed), f"packed{level}")
         done.append(result.filter(F.col("sequence_id") >= 0).drop("shard"))
         if last:
             break
-        shards, level = -(-shards // FAN_IN), level + 1
-        todo = result.filter(F.col("sequence_id") < 0).select("doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.col("shard"), F.lit(shards)).alias("shard"))
+        todo = result.filter(F.col("sequence_id") < 0).select("doc_id", "piece", "start", "length", "ids_crc32")
+        before, left, level = left, todo.count(), level + 1
+        if not left:
+            break
+        last = 2 * left > before
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
