@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 #: A list of identifiers of at most this length (8 MB) is broadcast, a longer one is joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: The column of row numbers.
+ROW = "lectern_row"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -49,6 +51,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` as a table of the shared folder, with a number for each row: identifiers may be null or repeated."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

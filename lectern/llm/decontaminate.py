@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import batches_of, blobs, prepare, without_ids
+from lectern.llm.common import ROW, batches_of, blobs, numbered, prepare, without_ids
 from lectern.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -163,8 +163,9 @@ def judge(spans: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
-    found = judge(removal_spans(docs, benchmark)).filter("contaminated").select("doc_id")
-    return without_ids(docs, found, "doc_id")
+    rows = numbered(docs)
+    found = judge(removal_spans(rows.select(F.col(ROW).alias("doc_id"), "text"), benchmark)).filter("contaminated")
+    return without_ids(rows, found.select(F.col("doc_id").alias(ROW)), ROW).drop(ROW)
 
 
 def cut_out(text: str, starts: list[int], ends: list[int]) -> str:

@@ -16,18 +16,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import blobs, join_sized, materialize, prepare, shuffle_width, without_ids
+from lectern.llm.common import ROW, blobs, join_sized, materialize, numbered, prepare, shuffle_width, without_ids
 
 #: Partners that meet in a round: 2 ** FAN_BITS.
 FAN_BITS = 3
 #: Entries of a run held in memory at once; a partition with more gives several runs.
 RUN_ROWS = 1_000_000
 KEY = ["d0", "d1", "d2", "d3", "n_bytes"]
-RUN = "node long, d0 long, d1 long, d2 long, d3 long, n_bytes long, keep_id long, group_size long"
+RUN = "node long, d0 long, d1 long, d2 long, d3 long, n_bytes long, keep_id long, group_size long, named long"
 
 
 def ascii_lower(text: bytes) -> bytes:
@@ -35,8 +36,9 @@ def ascii_lower(text: bytes) -> bytes:
     return text.lower()
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the SHA-256 of the normalised text as four longs, with its length in bytes."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id and the SHA-256 of the normalised text as four longs, with its length in bytes; ``row_col`` is carried along."""
+    more = [row_col] if row_col else []
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -44,13 +46,13 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             raw = b"".join(hashlib.sha256(t).digest() for t in texts)
             words = np.frombuffer(raw, ">i8").astype(np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(words[:, k]) for k in range(4)), pa.array([len(t) for t in texts], pa.int64())],
-                names=["doc_id", *KEY],
+                [batch.column(0), *(pa.array(words[:, k]) for k in range(4)), pa.array([len(t) for t in texts], pa.int64()), *batch.columns[2:]],
+                names=["doc_id", *KEY, *more],
             )
 
     prepare(docs.sparkSession)
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, d0 long, d1 long, d2 long, d3 long, n_bytes long")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+    return picked.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *KEY, *more)))
 
 
 def merge_runs(table: pa.Table, largest: bool) -> pa.Table:
@@ -60,7 +62,8 @@ def merge_runs(table: pa.Table, largest: bool) -> pa.Table:
     the same text only if the other words and the length agree too; should they ever differ, the
     run is sorted by all of them.
     """
-    cols = {k: table.column(k).to_numpy() for k in (*KEY, "keep_id", "group_size")}
+    sums = [k for k in ("group_size", "named") if k in table.column_names]
+    cols = {k: table.column(k).to_numpy() for k in (*KEY, "keep_id", *sums)}
     order = np.argsort(cols["d0"], kind="stable")
     same = np.ones(max(0, len(order) - 1), bool)
     verified = same.copy()
@@ -78,9 +81,9 @@ def merge_runs(table: pa.Table, largest: bool) -> pa.Table:
     out = {k: cols[k][order][first] for k in KEY}
     if len(first):
         out["keep_id"] = (np.maximum if largest else np.minimum).reduceat(cols["keep_id"][order], first)
-        out["group_size"] = np.add.reduceat(cols["group_size"][order], first)
+        out |= {k: np.add.reduceat(cols[k][order], first) for k in sums}
     else:
-        out |= {k: np.zeros(0, np.int64) for k in ("keep_id", "group_size")}
+        out |= {k: np.zeros(0, np.int64) for k in ("keep_id", *sums)}
     return pa.table(out)
 
 
@@ -90,12 +93,16 @@ def node_of(bits: int) -> Column:
 
 
 def tree_merge(digested: DataFrame, largest: bool) -> DataFrame:
-    """d0 .. d3, n_bytes, keep_id, group_size: one row for each distinct text."""
+    """d0 .. d3, n_bytes, keep_id, group_size: one row for each distinct text.
+
+    Rows without identifier count; keep_id is null only where no row of the text has one.
+    """
     spark = digested.sparkSession
     width = max(2 * shuffle_width(spark), digested.rdd.getNumPartitions(), 2)
     rounds = 1
     while 1 << (FAN_BITS * rounds) < width:
         rounds += 1
+    loser = int(np.iinfo(np.int64).min if largest else np.iinfo(np.int64).max)
     nodes, digit = 1 << (FAN_BITS * rounds), (1 << FAN_BITS) - 1
 
     def local_runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,6 +116,8 @@ def tree_merge(digested: DataFrame, largest: bool) -> DataFrame:
         for batch in it:
             one = pa.Table.from_batches([batch])
             one = one.rename_columns(["keep_id", *KEY]).append_column("group_size", pa.array(np.ones(len(one), np.int64)))
+            one = one.append_column("named", pc.is_valid(one.column("keep_id")).cast(pa.int64()))
+            one = one.set_column(0, "keep_id", pc.fill_null(one.column("keep_id"), loser))
             held.append(merge_runs(one, largest))
             if sum(map(len, held)) >= RUN_ROWS:
                 yield from run()
@@ -121,31 +130,41 @@ def tree_merge(digested: DataFrame, largest: bool) -> DataFrame:
         node = table.column("node")[0].as_py()
         return one.add_column(0, "node", pa.array(np.full(len(one), node, np.int64)))
 
-    picked = digested.filter(F.col("doc_id").isNotNull()).select("doc_id", *KEY)
+    picked = digested.select("doc_id", *KEY)
     runs = picked.mapInArrow(local_runs, RUN)
     for r in range(rounds):
         mask = digit << (FAN_BITS * r)
         target = F.col("node").bitwiseAND(F.lit(~mask)).bitwiseOR(node_of(FAN_BITS * rounds).bitwiseAND(F.lit(mask)))
         runs = runs.withColumn("node", target).groupBy("node").applyInArrow(merge, RUN)
-    return runs.drop("node")
+    return runs.withColumn("keep_id", F.when(F.col("named") > 0, F.col("keep_id"))).drop("node", "named")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row with an identifier.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", null_ids: bool = False) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row with an identifier, or with ``null_ids`` for every row.
 
     Texts are equal when identical after lower-casing A-Z only; a null text is an empty one. The row
     with the largest (or smallest) identifier of each group stays. Rows whose identifier is null
-    cannot be named as kept or dropped and have no row in the result. Rows that repeat an
+    have no row in the result and are not counted; with ``null_ids`` they are, never win, and their
+    ``kept`` is null as in SQL, and so is ``keep_id`` where no row of the group has one. Rows that repeat an
     identifier each get a row. Other columns of ``docs`` are not read. An empty table gives none.
     """
     digested = materialize(digests(docs, id_col, text_col), "digests")
+    digested = digested if null_ids else digested.filter(F.col("doc_id").isNotNull())
     winners = materialize(tree_merge(digested, keep == "largest"), "winners")
-    joined = join_sized(digested.filter(F.col("doc_id").isNotNull()), winners, KEY, "group_size")
+    joined = join_sized(digested, winners, KEY, "group_size")
     sha = F.lower(F.concat(*(F.lpad(F.hex(k), 16, "0") for k in KEY[:4])))
     return joined.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), sha.alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    dropped = exact_dedup(docs, id_col, text_col, keep).filter(~F.col("kept")).select(F.col("doc_id").alias(id_col))
-    return without_ids(docs, dropped, id_col)
+    """The rows of ``docs`` that stay, with all their columns: one for each distinct text.
+
+    It is decided by row: one without identifier stays only where none of its text has one, and of
+    rows that repeat the winner's identifier the first stays.
+    """
+    rows = numbered(docs)
+    digested = materialize(digests(rows, id_col, text_col, ROW), "digests")
+    winners = materialize(tree_merge(digested, keep == "largest"), "winners")
+    copies = join_sized(digested, winners, KEY, "group_size").filter("group_size > 1")
+    stay = copies.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(*KEY).agg(F.min(ROW).alias(ROW))
+    return without_ids(rows, copies.select(ROW).join(stay.select(ROW), ROW, "left_anti"), ROW).drop(ROW)

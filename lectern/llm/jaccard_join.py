@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import blobs, is_small, join_sized, materialize, only_ids, prepare, without_ids
+from lectern.llm.common import ROW, blobs, is_small, join_sized, materialize, numbered, only_ids, prepare, without_ids
 from lectern.llm.graph import components
 
 #: Two sets link when DEN * |intersection| >= NUM * |union|.
@@ -434,6 +434,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all columns: of each group, the smallest identifier's."""
-    gone = jaccard_groups(docs, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col))
-    return without_ids(docs, gone, id_col)
+    """The rows of ``docs`` that stay, with all columns: of each group the row with the smallest identifier, null ones last."""
+    rows = numbered(docs)
+    groups = jaccard_groups(rows, ROW, text_col).select(F.col("doc_id").alias(ROW), "component_id")
+    found = materialize(groups.join(rows.select(ROW, F.col(id_col).cast("long").alias("id")), ROW), "members")
+    stay = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", ROW)).alias("best")).select(F.col(f"best.{ROW}").alias(ROW))
+    return without_ids(rows, found.select(ROW).join(stay, ROW, "left_anti"), ROW).drop(ROW)
