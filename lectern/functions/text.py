@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Patterns and limits that results depend on.
 TOKEN = r"[a-z0-9]+(?:[-+][a-z0-9]+|[./][0-9][a-z0-9]*)*"
+TOKEN_PART = r"[a-z0-9]+(?:[-+][a-z0-9]+)*"
 PAGE_MARKER = r"<!--\s*page:\d+\s*-->"
 CITATION = r"\[(?:Source\s+)?\d+(?:\s*(?:,|&|and)\s*(?:Source\s+)?\d+)*\]"
 WEAK_SCORE = 0.3
@@ -25,8 +26,8 @@ def tokenize(text: Column) -> Column:
 
 
 def subtokens(text: Column) -> Column:
-    """The tokens with their parts at . and / as tokens of their own, as the index holds them."""
-    return F.filter(F.flatten(F.transform(tokenize(text), lambda t: F.split(t, "[./]"))), lambda t: t != "")
+    """The parts of all tokens between . and / as tokens of their own, as the index holds them."""
+    return F.regexp_extract_all(casefold(F.coalesce(text, F.lit(""))), F.lit(TOKEN_PART), 0)
 
 
 def collapse(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,53 +10,53 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import is_citation_artifact, tokenize
 
-# English function words, which no keyword holds. Callers pass their own lists for other words.
-FUNCTION_WORDS = tuple(
-    """a an the and or but if then else of to in on for with as by at from into than that this these those it its
-    we our us they their them he she his her you your i is are was were be been being am do does did has have had
-    having not no nor so such can could should would may might must will shall which who whom whose what when where
-    why how all any each few more most other some only own same over under between both up down out off about above
-    below again further there here also however thus hence therefore while during before after because via per within
-    without across""".split()
-)
 TOP_K, NGRAM_MAX, MIN_CHARS = 15, 3, 3
+#: Terms of a document that the greedy choice sees at first; where they do not suffice it sees all.
+FIRST_TERMS = 200
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once, although lambdas in it use it for each element."""
-    return F.transform(F.array(value), body)[0]
+def spark_stopwords(language: str = "english") -> list[str]:
+    """The list of Spark ML, for callers without a list of their own; it needs a session."""
+    from pyspark.ml.feature import StopWordsRemover
 
+    return StopWordsRemover.loadDefaultStopWords(language)
 
-def candidate_terms(text: Column, ngram_max: int = NGRAM_MAX, min_chars: int = MIN_CHARS, stopwords: tuple[str, ...] = FUNCTION_WORDS) -> Column:
-    """Array of n-grams, one for each occurrence. A token is bad if it, or its part before . or /, is a stopword, or
-    if it looks like a citation; an n-gram is dropped for a bad token, for repeating one token, for fewer than
-    ``min_chars`` characters, or for having no letter."""
-    tokens = tokenize(text)
 
-    def fine(t: Column) -> Column:
-        return ~F.split(t, "[./]")[0].isin(*stopwords) & ~t.isin(*stopwords) & ~is_citation_artifact(t)
+def is_fine(token: Column, stopwords: Sequence[str]) -> Column:
+    """Neither a stopword, nor one before its first . or /, nor the look of a citation."""
+    head = F.substring_index(F.substring_index(token, ".", 1), "/", 1)
+    return ~token.isin(*stopwords) & ~head.isin(*stopwords) & ~is_citation_artifact(token)
 
-    def grams(words: Column, good: Column, n: int) -> Column:
-        count = F.size(words) - (n - 1)
-        places = F.when(count >= 1, F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        kept = F.filter(places, lambda i: F.forall(F.slice(good, i, n), lambda x: x))
-        return F.transform(kept, lambda i: F.array_join(F.slice(words, i, n), " "))
 
-    def all_grams(words: Column) -> Column:
-        return bind(F.transform(words, fine), lambda good: F.concat(*(grams(words, good, n) for n in range(1, ngram_max + 1))))
+def occurrences(docs: DataFrame, stopwords: Sequence[str], id_col: str = "doc_id", text_col: str = "text", ngram_max: int = NGRAM_MAX, min_chars: int = MIN_CHARS) -> DataFrame:
+    """doc, term: one row for each n-gram of 1 to ``ngram_max`` tokens in a text.
+
+    An n-gram is dropped for a token that is not fine, for repeating one token, for fewer than
+    ``min_chars`` characters, or for having no letter. The token array is laid beside itself, shifted,
+    so each row holds the tokens that start there: no window, no shuffle, and all code is compiled.
+    """
+    words = docs.select(F.col(id_col).alias("doc"), tokenize(F.col(text_col)).alias("w"))
+    shifted = [F.slice("w", k + 1, F.greatest(F.size("w") - k, F.lit(0))).alias(f"t{k}") for k in range(ngram_max)]
+    rows = words.select("doc", F.inline(F.arrays_zip(*shifted)))
+    rows = rows.select("doc", *(F.when(is_fine(F.col(f"t{k}"), stopwords), F.col(f"t{k}")).alias(f"t{k}") for k in range(ngram_max)))
+    grams = []
+    for n in range(1, ngram_max + 1):
+        same = F.lit(n > 1)
+        for k in range(1, n):
+            same = same & (F.col(f"t{k}") == F.col("t0"))
+        grams.append(F.when(~same, F.concat(*(x for k in range(n) for x in ([F.lit(" ")] * (k > 0) + [F.col(f"t{k}")])))))
+    terms = rows.filter("t0 IS NOT NULL").select("doc", F.explode(F.array(*grams)).alias("term"))
+    return terms.filter((F.length(F.replace("term", F.lit(" "), F.lit(""))) >= min_chars) & F.col("term").rlike("[a-z]"))
 
-    def keyword(term: Column) -> Column:
-        parts = F.split(term, " ")
-        repeats = (F.size(parts) > 1) & (F.size(F.array_distinct(parts)) == 1)
-        return ~repeats & (F.length(F.replace(term, F.lit(" "), F.lit(""))) >= min_chars) & term.rlike("[a-z]")
 
-    return F.filter(bind(tokens, all_grams), keyword)
+def doc_term_counts(docs: DataFrame, stopwords: Sequence[str], **options: object) -> DataFrame:
+    """doc, term, tf; occurrences are counted within each partition before anything is shuffled."""
+    return occurrences(docs, stopwords, **options).groupBy("doc", "term").agg(F.count("*").alias("tf"))
 
 
-def doc_term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """doc, term, tf."""
-    terms = docs.select(F.col(id_col).alias("doc"), F.explode(candidate_terms(F.col(text_col), **options)).alias("term"))
-    return terms.groupBy("doc", "term").agg(F.count("*").alias("tf"))
+def term_counts(docs: DataFrame, stopwords: Sequence[str], **options: object) -> DataFrame:
+    """term, freq over all documents."""
+    return occurrences(docs, stopwords, **options).groupBy("term").agg(F.count("*").alias("freq"))
 
 
 def tf_idf(counts: DataFrame, n_docs: int, digits: int = 6) -> DataFrame:
@@ -74,11 +74,14 @@ def top_terms(scored: DataFrame, k: int = TOP_K) -> DataFrame:
 
 def suppress_nested(scored: DataFrame, k: int = TOP_K) -> DataFrame:
     """doc, term, score, rank: greedy choice by (-score, term) that takes no term which contains, or is contained
-    in, one already taken. Each document's ranked terms are one array, bounded by the document's length."""
+    in, one already taken. Each document's ranked terms are one array, bounded by the document's length; Python
+    gets the first FIRST_TERMS of them, and the whole array only where the choice is not full by then."""
 
     @F.pandas_udf("array<int>")
     def choose(terms: pd.Series) -> pd.Series:
-        def one(ranked: list[str]) -> list[int]:
+        def one(ranked: list[str] | None) -> list[int] | None:
+            if ranked is None:
+                return None
             taken: list[tuple[int, str]] = []
             for place, term in enumerate(ranked):
                 framed = f" {term} "
@@ -90,9 +93,11 @@ def suppress_nested(scored: DataFrame, k: int = TOP_K) -> DataFrame:
 
         return terms.map(one)
 
-    ranked = scored.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "term"))).alias("all"))
-    chosen = ranked.withColumn("places", choose(F.transform("all", lambda x: x["term"])))
-    picked = chosen.select("doc", F.posexplode(F.transform("places", lambda p: F.element_at(F.col("all"), p + 1))).alias("at", "x"))
+    ranked = scored.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "term"))).alias("ranked"))
+    first = ranked.withColumn("places", choose(F.slice("ranked", 1, FIRST_TERMS)["term"]))
+    short = (F.size("places") < k) & (F.size("ranked") > FIRST_TERMS)
+    chosen = first.withColumn("places", F.coalesce(choose(F.when(short, F.col("ranked")["term"])), "places"))
+    picked = chosen.select("doc", F.posexplode(F.transform("places", lambda p: F.element_at(F.col("ranked"), p + 1))).alias("at", "x"))
     return picked.select("doc", F.col("x.term").alias("term"), (-F.col("x.s")).alias("score"), (F.col("at") + 1).alias("rank"))
 
 
@@ -132,8 +137,8 @@ def contrastive(frequencies: DataFrame, reference: DataFrame, k: int = TOP_K, ce
     return scored.orderBy(F.desc("score"), "term").limit(k)
 
 
-def abstract_candidates(docs: DataFrame, id_col: str, text_col: str, k: int = TOP_K) -> DataFrame:
-    """doc, term, n, rank: the candidates of each text by (-count, -words, term)."""
-    counts = doc_term_counts(docs, id_col, text_col)
+def abstract_candidates(docs: DataFrame, stopwords: Sequence[str], id_col: str = "doc_id", text_col: str = "text", k: int = TOP_K) -> DataFrame:
+    """doc, term, tf, rank: the candidates of each text by (-count, -words, term)."""
+    counts = doc_term_counts(docs, stopwords, id_col=id_col, text_col=text_col)
     order = Window.partitionBy("doc").orderBy(F.desc("tf"), F.desc(F.size(F.split("term", " "))), "term")
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -69,3 +69,30 @@ def recall_at(ranked: DataFrame, expected: DataFrame, k: int) -> DataFrame:
     """query, recall: share of expected documents among the k best."""
     hits = expected.join(ranked.filter(F.col("rank") <= k).select("query", "doc", F.lit(1).alias("hit")), ["query", "doc"], "left")
     return hits.groupBy("query").agg(F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
+
+
+def quoting(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:
+    """query, doc: the documents (doc, text) that contain an item (query, item) as it stands; no empty item.
+
+    Both are cut at white space, and the first whole words of an item, ``n`` at most, are looked for
+    by an equi-join among all runs of as many words; only what has them is searched for the item. The first
+    and the last word of an item may be parts of a document's, so they are left out; an item with
+    nothing between them is held against every document, in blocks of the stated items.
+    """
+    words = F.split("item", r"\s+")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    keyed = items.filter("item <> ''").select("query", "item", F.slice(inner, 1, n).alias("key")).withColumn("n", F.size("key"))
+    long = keyed.filter("n > 0")
+    lengths = [r["n"] for r in long.select("n").distinct().collect()]  # at most n of them
+    runs = docs.select("doc", F.split("text", r"\s+").alias("w"))
+    starts = F.explode(F.array(*(F.lit(k) for k in lengths))) if lengths else F.lit(0)
+    placed = runs.select("doc", "w", starts.alias("n")).filter(F.size("w") >= F.col("n"))
+    keys = placed.select("doc", "n", F.explode(F.expr("transform(sequence(1, size(w) - n + 1), i -> xxhash64(slice(w, i, n)))")).alias("h")).distinct() if lengths else placed.select("doc", "n", F.lit(0).cast("long").alias("h"))
+    hit = keys.join(long.select("query", "n", F.xxhash64("key").alias("h")), ["n", "h"]).select("query", "doc").distinct()
+    sure = hit.join(long.select("query", "item"), "query").join(docs, "doc").filter(F.contains("text", "item")).select("query", "doc")
+    short = keyed.filter("n = 0").select("query", "item")
+    blocks = -(-short.count() // QUERY_BLOCK)
+    for b in range(blocks):
+        own = short.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
+        sure = sure.unionByName(docs.join(F.broadcast(own), F.contains("text", "item")).select("query", "doc"))
+    return sure.distinct()

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +9,9 @@ from lectern.functions import html
 from lectern.functions.text import cited_numbers, doc_hash, edit_similarity, health, slugify, split_sentences
 from lectern.functions.vectors import normalized
 from lectern.operators import evaluation, graph, index, keywords, library, retrieve
+from lectern.operators.scratch import materialize, scratch_path
 from lectern.plans.registry import query, table
-from lectern.plans.search import TERMS_SQL, tokens_sql
+from lectern.plans.search import STOPWORDS, TERMS_SQL, tokens_sql
 from lectern.streaming.ingest import ingest_available
 from lectern.streaming.ingest import library as taken
 
@@ -210,10 +208,10 @@ VOCABULARY_SQL = f"""{TERMS_SQL}, b AS (SELECT term, count(*) AS df, sum(tf) AS
 
 
 def presence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """term, doc, tf for the 40 best single words of the corpus band, a fixed vocabulary."""
+    """term, doc, tf for the 40 best single words of the corpus band, a fixed vocabulary; words are counted once."""
     docs = table(spark, sf_dir, "documents")
-    counts = keywords.doc_term_counts(docs)
-    vocabulary = keywords.corpus_band(counts.filter(~F.contains("term", F.lit(" "))), docs.count(), 40).select("term")
+    counts = materialize(keywords.doc_term_counts(docs, STOPWORDS, ngram_max=1), "words")
+    vocabulary = keywords.corpus_band(counts, docs.count(), 40).select("term")
     return counts.join(F.broadcast(vocabulary), "term").select("term", "doc", "tf")
 
 
@@ -303,8 +301,7 @@ def conversation_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT DISTINCT {HASH_SQL} AS doc_hash FROM documents")
 def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs of the incremental ingest over the same files: the second finds nothing new."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lectern-")
-    where = f"{root}/ingest-{uuid.uuid4().hex}"
+    where = scratch_path(spark, "ingest")
     schema = table(spark, sf_dir, "documents").schema
     for _ in range(2):
         ingest_available(spark, f"{sf_dir}/documents*.parquet", schema, f"{where}/table", f"{where}/log")

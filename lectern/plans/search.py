@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.text import TOKEN, digest_of_set, doc_hash
+from lectern.functions.text import TOKEN, TOKEN_PART, doc_hash
 from lectern.operators import index, keywords, retrieve
 from lectern.plans.registry import query, table
 
@@ -18,10 +18,12 @@ def tokens_sql(text: str) -> str:
 
 SUB_SQL = f"""
 sub AS (
-  SELECT doc_id AS doc, list_filter(flatten(list_transform({tokens_sql("text")}, lambda t: string_split_regex(t, '[./]'))), lambda t: t <> '') AS w FROM documents
+  SELECT doc_id AS doc, regexp_extract_all({FOLD.format("text")}, '{TOKEN_PART}') AS w FROM documents
 )"""
 
-STOP_SQL = "(" + ", ".join(f"'{w}'" for w in keywords.FUNCTION_WORDS) + ")"
+# The classic English stop list of Apache Lucene, the queries' own choice.
+STOPWORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
+STOP_SQL = "(" + ", ".join(f"'{w}'" for w in STOPWORDS) + ")"
 
 TERMS_SQL = f"""
 tok AS (
@@ -51,7 +53,7 @@ def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SUB_SQL}, e AS (SELECT doc, unnest(w) AS term FROM sub) SELECT term, count(*) AS tf, count(DISTINCT doc) AS df FROM e GROUP BY term")
 def df_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.term_stats(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return index.term_stats(table(spark, sf_dir, "documents"), "text")
 
 
 BM25_SQL = f"""
@@ -177,15 +179,15 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that quote an item in full are the ones expected for it."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("item"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
-    expected = docs.join(F.broadcast(items), F.contains("text", "item")).select("query", "doc").distinct()
+    expected = retrieve.quoting(docs, items)
     return retrieve.recall_at(bm25_topk(spark, sf_dir), expected, 10)
 
 
-@query("SELECT sha256(array_to_string(list_sort(list_distinct(list(substr(sha256(coalesce(text, '')), 1, 16)))), chr(10))) AS digest, count(*) AS n FROM documents")
+@query("""WITH h AS (SELECT DISTINCT substr(sha256(coalesce(text, '')), 1, 16) AS h FROM documents
+), p AS (SELECT substr(h, 1, 4) AS prefix, sha256(string_agg(h, chr(10) ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1)
+SELECT sha256(string_agg(d, chr(10) ORDER BY prefix)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM p""")
 def doc_set_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One digest of all distinct hashes: the result's definition needs their sorted list (16 bytes each) at one place."""
-    hashes = table(spark, sf_dir, "documents").select(doc_hash(F.coalesce("text", F.lit(""))).alias("h"))
-    return hashes.agg(digest_of_set(F.collect_set("h")).alias("digest"), F.count("*").alias("n"))
+    return index.set_digest(table(spark, sf_dir, "documents").select(doc_hash(F.coalesce("text", F.lit(""))).alias("h")))
 
 
 @query(
@@ -202,13 +204,22 @@ def index_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, term) AS rank FROM s) WHERE rank <= 15""")
 def tfidf_keywords_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return keywords.top_terms(keywords.tf_idf(keywords.doc_term_counts(docs), docs.count()))
+    return keywords.top_terms(keywords.tf_idf(keywords.doc_term_counts(docs, STOPWORDS), docs.count()))
 
 
-@query()
+GREEDY_SQL = """list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(ranked, lambda x: [x.term])), lambda acc, x: CASE
+  WHEN len(acc) < 15 AND len(list_filter(acc, lambda y: contains(' ' || y || ' ', ' ' || x[1] || ' ') OR contains(' ' || x[1] || ' ', ' ' || y || ' '))) = 0 THEN list_concat(acc, x) ELSE acc END)"""
+
+
+@query("WITH " + TERMS_SQL + f""", d AS (SELECT term, count(*) AS df FROM counts GROUP BY term), n AS (SELECT count(*) AS n FROM documents), s AS (
+  SELECT doc, term, round((1 + ln(tf)) * (ln((n + 1) / (df + 1)) + 1), 6) AS score FROM counts JOIN d USING (term), n
+), r AS (SELECT doc, list({{'term': term, 'score': score}} ORDER BY score DESC, term) AS ranked FROM s GROUP BY doc
+), g AS (SELECT doc, {GREEDY_SQL} AS taken FROM r
+), e AS (SELECT doc, unnest(taken) AS term, unnest(range(1, len(taken) + 1)) AS rank FROM g)
+SELECT e.doc, e.term, s.score, CAST(e.rank AS INT) AS rank FROM e JOIN s ON e.doc = s.doc AND e.term = s.term""")
 def tfidf_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return keywords.suppress_nested(keywords.tf_idf(keywords.doc_term_counts(docs), docs.count()))
+    return keywords.suppress_nested(keywords.tf_idf(keywords.doc_term_counts(docs, STOPWORDS), docs.count()))
 
 
 @query("WITH " + TERMS_SQL + """, b AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM counts GROUP BY term)
@@ -216,24 +227,22 @@ SELECT term, df, tf, round(df * (1 + ln(tf)), 6) AS score FROM b
 WHERE df BETWEEN 2 AND (SELECT greatest(2, CAST(floor(0.7 * count(*)) AS BIGINT)) FROM documents) ORDER BY score DESC, term LIMIT 60""")
 def corpus_band_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return keywords.corpus_band(keywords.doc_term_counts(docs), docs.count())
+    return keywords.corpus_band(keywords.doc_term_counts(docs, STOPWORDS), docs.count())
 
 
 CVALUE_SQL = (
     "WITH "
     + TERMS_SQL
     + """, f AS (SELECT term, CAST(sum(tf) AS BIGINT) AS freq, string_split(term, ' ') AS w FROM counts GROUP BY term), subs AS (
-  SELECT DISTINCT f.term AS sup, f.freq, array_to_string(w[i:i + m - 1], ' ') AS sub FROM f, unnest(range(1, len(w) + 1)) AS a(i), unnest(range(1, len(w) + 1)) AS b(m)
-  WHERE i + m - 1 <= len(w) AND m < len(w)
-), around AS (SELECT sub, sum(freq) / count(*) AS mean FROM subs WHERE sub <> sup GROUP BY sub), cv AS (
+  SELECT term AS sup, freq, unnest(CASE len(w) WHEN 2 THEN list_distinct(w) WHEN 3 THEN list_distinct([w[1], w[2], w[3], w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) ELSE [] END) AS sub FROM f
+), around AS (SELECT sub, sum(freq) / count(*) AS mean FROM subs GROUP BY sub), cv AS (
   SELECT term, freq, round(log2(len(w) + 1) * (freq - coalesce(mean, 0)), 6) AS cvalue FROM f LEFT JOIN around ON sub = term)"""
 )
 
 
 @query(CVALUE_SQL + " SELECT term, freq, cvalue FROM cv")
 def c_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = keywords.doc_term_counts(table(spark, sf_dir, "documents"))
-    return keywords.c_value(counts.groupBy("term").agg(F.sum("tf").alias("freq")))
+    return keywords.c_value(keywords.term_counts(table(spark, sf_dir, "documents"), STOPWORDS))
 
 
 @query(CVALUE_SQL + f""", z AS (
@@ -243,8 +252,8 @@ def c_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT term, round((1 + ln(freq)) * weirdness, 6) AS score FROM s WHERE weirdness > 0 ORDER BY score DESC, term LIMIT 15""")
 def contrastive_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Termhood of document terms against the words of conversations as reference."""
-    counts = keywords.doc_term_counts(table(spark, sf_dir, "documents"))
+    frequencies = keywords.term_counts(table(spark, sf_dir, "documents"), STOPWORDS)
     words = table(spark, sf_dir, "conversations").select(F.explode(index.tokenize(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     total = words.agg(F.sum("n")).first()[0] or 1
     reference = words.select("token", F.round(F.log10(F.col("n") * 1e9 / total), 6).alias("zipf"))
-    return keywords.contrastive(counts.groupBy("term").agg(F.sum("tf").alias("freq")), reference)
+    return keywords.contrastive(frequencies, reference)
