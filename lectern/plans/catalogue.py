@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.plans import corpus, search
+from lectern.plans import concepts, corpus, library, search
 from lectern.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "corpus", "search"]
+__all__ = ["ORACLE_SQL", "QUERIES", "concepts", "corpus", "library", "search"]
