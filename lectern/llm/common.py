@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +15,11 @@ from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than 1 / HOT_SHARE of all rows, so at most HOT_SHARE keys can be hot.
 HOT_SHARE = 1000
-#: A list of identifiers of at most this length (8 MB) is broadcast, a longer one is joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: A table of a few numbers a row is broadcast up to so many rows (about 20 MB as a hash map), a longer one is joined by shuffle.
+BROADCAST_ROWS = 1 << 18
+#: Blocks from this size on are mapped by themselves, so that a worker gives them back when they are free.
+MAPPED_BYTES = 1 << 20
+_M_MMAP_THRESHOLD = -3
 #: The column of row numbers.
 ROW = "lectern_row"
 
@@ -23,7 +28,7 @@ def prepare(spark: SparkSession) -> None:
     """Bound the Arrow batches that Python workers get: rows of text can be long."""
     for key, value in (
         ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"),
-        ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20)),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)),
     ):
         try:
             spark.conf.set(key, value)
@@ -31,6 +36,44 @@ def prepare(spark: SparkSession) -> None:
             continue
 
 
+def release() -> None:
+    """Give the worker's free memory back to the system; workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(_M_MMAP_THRESHOLD, MAPPED_BYTES)
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over a partition, which leaves no free memory with the worker."""
+
+    @wraps(run)
+    def tidied(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        try:
+            yield from run(it)
+        finally:
+            release()
+
+    return tidied
+
+
+def tidy_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``run`` over one group, which leaves no free memory with the worker."""
+
+    @wraps(run)
+    def tidied(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            release()
+
+    return tidied
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: the cluster's checkpoint folder, else one made for tests."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -75,8 +118,8 @@ def join_sized(left: DataFrame, right: DataFrame, keys: list[str], size: str) ->
 
 
 def is_small(ids: DataFrame) -> bool:
-    """Whether a materialized table of identifiers is short enough to broadcast."""
-    return ids.count() <= BROADCAST_IDS
+    """Whether a materialized table of a few numbers a row is short enough to broadcast."""
+    return ids.count() <= BROADCAST_ROWS
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:

@@ -21,12 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import ROW, blobs, join_sized, materialize, numbered, prepare, shuffle_width, without_ids
+from lectern.llm.common import ROW, blobs, join_sized, materialize, numbered, prepare, shuffle_width, tidy, tidy_group, without_ids
 
 #: Partners that meet in a round: 2 ** FAN_BITS.
 FAN_BITS = 3
 #: Entries of a run held in memory at once; a partition with more gives several runs.
-RUN_ROWS = 1_000_000
+RUN_ROWS = 500_000
 KEY = ["d0", "d1", "d2", "d3", "n_bytes"]
 RUN = "node long, d0 long, d1 long, d2 long, d3 long, n_bytes long, keep_id long, group_size long, named long"
 
@@ -52,7 +52,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
 
     prepare(docs.sparkSession)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
-    return picked.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *KEY, *more)))
+    return picked.mapInArrow(tidy(run), ", ".join(f"{c} long" for c in ("doc_id", *KEY, *more)))
 
 
 def merge_runs(table: pa.Table, largest: bool) -> pa.Table:
@@ -131,11 +131,11 @@ def tree_merge(digested: DataFrame, largest: bool) -> DataFrame:
         return one.add_column(0, "node", pa.array(np.full(len(one), node, np.int64)))
 
     picked = digested.select("doc_id", *KEY)
-    runs = picked.mapInArrow(local_runs, RUN)
+    runs = picked.mapInArrow(tidy(local_runs), RUN)
     for r in range(rounds):
         mask = digit << (FAN_BITS * r)
         target = F.col("node").bitwiseAND(F.lit(~mask)).bitwiseOR(node_of(FAN_BITS * rounds).bitwiseAND(F.lit(mask)))
-        runs = runs.withColumn("node", target).groupBy("node").applyInArrow(merge, RUN)
+        runs = runs.withColumn("node", target).groupBy("node").applyInArrow(tidy_group(merge), RUN)
     return runs.withColumn("keep_id", F.when(F.col("named") > 0, F.col("keep_id"))).drop("node", "named")
 
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialize, prepare
+from lectern.llm.common import materialize, prepare, tidy, tidy_group
 from lectern.llm.tokens import encoder, vocabulary_path
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, capa
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, PIECE)
+    return picked.mapInArrow(tidy(run), PIECE)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +122,7 @@ def pack(cut_up: DataFrame, capacity: int = 1024, slack: int = 4) -> DataFrame:
         last = last or shards == 1
         # the row's number keeps rows repeated in full, or without identifier, from meeting in one shard
         dealt = todo.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id(), F.lit(level)), F.lit(shards)))
-        result = materialize(dealt.groupBy("shard").applyInArrow(placer(capacity, slack, level, last), placed), f"packed{level}")
+        result = materialize(dealt.groupBy("shard").applyInArrow(tidy_group(placer(capacity, slack, level, last)), placed), f"packed{level}")
         done.append(result.filter(F.col("sequence_id") >= 0).drop("shard"))
         if last:
             break

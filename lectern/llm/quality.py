@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import blobs, prepare
+from lectern.llm.common import blobs, prepare, tidy
 
 WORDS, SHAPES, BUCKETS, STATS = 2048, 2048, 16, 8
 SIZE = WORDS + SHAPES + BUCKETS * STATS
@@ -112,7 +112,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
             df[SIZE] += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE + 1, dtype=np.int32)), pa.array(df)], names=["term", "n"])
 
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "term int, n long")
+    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(tidy(run), "term int, n long")
     out = np.zeros(SIZE + 1, np.int64)
     for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[r["term"]] = r["n"]
@@ -154,7 +154,7 @@ def fit(
             rows = terms(blobs(batch.column(1)))  # float32: counts of long texts are beyond float16; most are 0, so they are sent compressed
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([zlib.compress(r.tobytes(), 1) for r in rows], pa.binary())], names=["id", "label", "terms"])
 
-    got = sorted(texts.select("id", "text", "label").mapInArrow(run, "id long, label int, terms binary").collect(), key=lambda r: (r["id"], r["terms"]))
+    got = sorted(texts.select("id", "text", "label").mapInArrow(tidy(run), "id long, label int, terms binary").collect(), key=lambda r: (r["id"], r["terms"]))
     counts = np.array([np.frombuffer(zlib.decompress(r["terms"]), np.float32) for r in got], np.float32).reshape(-1, SIZE)
     known = np.array([r["label"] for r in got], np.float32)
     return Model(idf, *latent(weighted(counts, idf), rank), known) if len(known) else Model(idf, np.zeros((SIZE, 0), np.float32), np.zeros((0, 0), np.float32), known)
@@ -189,4 +189,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())], names=["doc_id", "score"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, score double")
+    return picked.mapInArrow(tidy(run), "doc_id long, score double")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import prepare
+from lectern.llm.common import prepare, tidy
 
 # The forms of the base rules.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -90,7 +90,7 @@ def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         label, step = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(step.astype(np.int32)), pa.array(counts[label, step])], names=["label", "step", "n"])
 
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "label int, step int, n long")
+    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(tidy(run), "label int, step int, n long")
     table = np.zeros((2, SYMBOLS, SYMBOLS))
     for r in counted.groupBy("label", "step").agg(F.sum("n").alias("n")).collect():
         table[r["label"]].flat[r["step"]] += r["n"]
@@ -141,7 +141,7 @@ def scan(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])], names=names)
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string")
+    return picked.mapInArrow(tidy(run), "doc_id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string")
 
 
 def redact(text: str | None, spans: str | None, mark: str = "[SECRET]") -> str | None:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialize, prepare, scratch_path, shuffle_width
+from lectern.llm.common import materialize, prepare, scratch_path, shuffle_width, tidy
 from lectern.llm.tokens import encoder, vocabulary_path
 
 #: Sequences of a record batch.
@@ -161,7 +161,7 @@ def write_tokens(
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ranged = picked.repartitionByRange(max(8, shuffle_width(spark)), "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(ranged.mapInArrow(run, "shard long, n_docs long, n_tokens long"), "shards")
+    return materialize(ranged.mapInArrow(tidy(run), "shard long, n_docs long, n_tokens long"), "shards")
 
 
 def read_tokens(written: DataFrame, where: str) -> DataFrame:
@@ -192,7 +192,7 @@ def read_tokens(written: DataFrame, where: str) -> DataFrame:
 
     todo = spark.createDataFrame(shards, "shard long, before long")
     width = min(max(1, len(shards)), 4 * max(1, spark.sparkContext.defaultParallelism))
-    return todo.repartition(width).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return todo.repartition(width).mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, where: str | None = None, **options: object) -> DataFrame:

@@ -17,8 +17,8 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Units longer than this are encoded each time; the memo is emptied when it has so many entries.
-MEMO_CHARS, MEMO_ENTRIES = 40, 1_500_000
+#: Units longer than this are encoded each time; a memo holds the last so many units, and as many before them.
+MEMO_CHARS, MEMO_ENTRIES = 40, 100_000
 RUN = re.compile(r"\s\s")
 CUT = re.compile(r"(?<=\S)(?= \S)")
 #: A word of letters; what follows it, unless a letter, is a word of its own.
@@ -33,27 +33,37 @@ def pack(ids: list[int]) -> bytes:
 
 
 class _Memo(dict):
-    """Unit -> its ids as little-endian unsigned 32-bit integers."""
+    """Unit -> its ids as little-endian unsigned 32-bit integers, in two generations.
+
+    When the young one is full it becomes the old one; a unit found there is young again, so frequent
+    units stay and the memory is bounded.
+    """
 
     def __init__(self, tokenizer: Tokenizer, before: str, plain: _Memo | None = None) -> None:
         super().__init__()
         self.encode, self.model, self.before, self.plain = tokenizer.encode, tokenizer.model, before, self if plain is None else plain
         self.mark = before.replace(" ", "Ġ")
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, unit: str) -> bytes:
-        word = WORD.match(unit)
-        if word and word.end() < len(unit) and not unit[word.end()].isalpha():
-            out = self[word[0]] + self.plain[unit[word.end() :]]
-        elif word and word.end() == len(unit) and unit.isascii():  # a word by itself needs no cutting
-            out = pack([t.id for t in self.model.tokenize(self.mark + unit)])
-        else:
-            out = pack(self.encode(self.before + unit, add_special_tokens=False).ids)
+        out = self.old.get(unit)
+        if out is None:
+            out = self.encoded(unit)
         if len(unit) <= MEMO_CHARS:
             if len(self) >= MEMO_ENTRIES:
+                self.old = dict(self)
                 self.clear()
             self[unit] = out
         return out
 
+    def encoded(self, unit: str) -> bytes:
+        word = WORD.match(unit)
+        if word and word.end() < len(unit) and not unit[word.end()].isalpha():
+            return self[word[0]] + self.plain[unit[word.end() :]]
+        if word and word.end() == len(unit) and unit.isascii():  # a word by itself needs no cutting
+            return pack([t.id for t in self.model.tokenize(self.mark + unit)])
+        return pack(self.encode(self.before + unit, add_special_tokens=False).ids)
+
 
 class Encoder:
     def __init__(self, path: str) -> None:
