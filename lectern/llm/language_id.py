@@ -7,7 +7,6 @@ small the margin is narrow and the text is rejected.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,10 +14,11 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import prepare
+from lectern.llm.common import prepare, tidy
 
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
+#: Longer texts are compressed in segments of so many bytes, each with a fresh dictionary, so a margin means the same at any length.
+SEGMENT = 1 << 16
 
 
 def train_dictionaries(
@@ -26,31 +26,34 @@ def train_dictionaries(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    docs_per_language: int = 1000,
-    sample_chars: int = 300,
-    dictionary_bytes: int = 1 << 17,
+    docs_per_language: int = 100,
 ) -> dict[str, bytes]:
     """Language -> dictionary content, from a bounded sample of labelled rows.
 
     The sample is the ``docs_per_language`` rows of each language that have the smallest hash of
-    their identifier; each gives at most ``sample_chars`` characters, and the whole at most
-    ``dictionary_bytes``. Rows without text, letter or language teach nothing. Languages come in the order of
-    their number of rows, so that a tie goes to the most frequent one.
+    their identifier, ties by text; their whole texts are the dictionary. Rows without text or
+    language teach nothing; repeated rows are rows of their own. Languages come in the order of their
+    number of rows, so that a tie goes to the most frequent one.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
         F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("text")
     )
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    ranked = (
-        rows.select("lang", "h", F.substring("text", 1, sample_chars).alias("text"))
-        .withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
-        .filter(F.col("k") <= docs_per_language)
-        .collect()
-    )
+    # hashes are uniform, so four times the wanted share of them holds the smallest ones; where identifiers
+    # repeat too much for that, more of the range is taken
+    ranked, share = [], 4.0
+    while counts:
+        limits = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, share * docs_per_language / n))))
+        place = F.col("h").cast("double") / 2.0**64 + 0.5
+        near = rows.filter(place <= F.try_element_at(limits, F.col("lang")))
+        ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("k") <= docs_per_language).collect()
+        if all(sum(r["lang"] == lang for r in ranked) >= min(n, docs_per_language) for lang, n in counts.items()):
+            break
+        share *= 16
     out: dict[str, bytes] = {}
     for lang in sorted(counts, key=lambda x: (-counts[x], x)):
         texts = [r["text"].lower() for r in sorted(ranked, key=lambda r: r["k"]) if r["lang"] == lang]
-        out[lang] = "\n".join(texts).encode()[:dictionary_bytes]
+        out[lang] = "\n".join(texts).encode(errors="replace")
     return out
 
 
@@ -67,10 +70,11 @@ class Compressors:
 
     def judge(self, text: str | None) -> tuple[str, float]:
         """(language, margin): the margin is the share by which the runner-up's frame is larger."""
-        if not text or not LETTER.search(text):
+        if not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         raw = text.lower().encode(errors="replace")
-        sizes = [c.compress(raw).__len__() for c in self.plain]
+        segments = [raw] if len(raw) <= SEGMENT else [raw[at : at + SEGMENT] for at in range(0, len(raw), SEGMENT)]
+        sizes = [sum(len(c.compress(s)) for s in segments) for c in self.plain]
         if not sizes:
             return UNKNOWN, 0.0
         best = min(range(len(sizes)), key=sizes.__getitem__)
@@ -90,7 +94,8 @@ def identify(
 
     ``score`` is the margin, 0 to 1. A text that is null or has no letter is ``und`` with score 0
     and is rejected, as is one whose margin is under ``min_margin``. Equal sizes go to the language
-    first in ``dictionaries``. Without any dictionary all is ``und``. Whole texts are compressed;
+    first in ``dictionaries``. Without any dictionary all is ``und``. Whole texts are compressed, long
+    ones in segments; a null identifier is carried along;
     other columns are not read; repeated rows each get a row.
     """
     prepare(docs.sparkSession)
@@ -106,7 +111,7 @@ def identify(
             )
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return picked.mapInArrow(tidy(run), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
