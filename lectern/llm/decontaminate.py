@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import ROW, batches_of, blobs, numbered, prepare, without_ids
+from lectern.llm.common import ROW, batches_of, blobs, materialize, numbered, prepare, tidy, without_ids
 from lectern.llm.fm_index import FMIndex
 
 WINDOW = 13
-#: A shard's rows and bytes of text at most, but for one batch; benchmark texts are broadcast up to so many bytes.
-SHARD_ROWS, SHARD_BYTES, BENCHMARK_BYTES = 20_000, 8 << 20, 64 << 20
+#: A shard's rows and bytes of text at most, but for one batch.
+SHARD_ROWS, SHARD_BYTES = 20_000, 3 << 20
+#: The benchmark is searched for in parts of about so many bytes of text, and at the most one item more.
+BENCHMARK_BYTES = 4 << 20
 #: Occurrences that are located at once.
 ROWS = 1 << 20
 # A-Z are lower-cased; of ASCII, only letters and digits are in words, and all else stands between them.
@@ -38,18 +40,24 @@ class Phrases:
 
     def __init__(self, items: list[tuple[str, bytes]], window: int) -> None:
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[int]] = {}
         self.items = [i for i, _ in items]
+        rows, owner = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)]
         for k, (_, text) in enumerate(items):
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            for at in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[at : at + window]), set()).add(k)
-        self.owners = [sorted(v) for v in found.values()]
-        self.lengths = np.array([len(w) for w in found], np.int64)
-        self.matrix = np.zeros((len(found), window), np.int64)
-        for k, w in enumerate(found):
-            self.matrix[k, window - len(w) :] = w
-        self.shortest = int(self.lengths.min()) if len(found) else 0
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int32)
+            if len(ids):
+                padded = np.concatenate([np.zeros(max(0, window - len(ids)), np.int32), ids])
+                rows.append(np.lib.stride_tricks.sliding_window_view(padded, window))
+                owner.append(np.full(len(rows[-1]), k))
+        # a right-aligned row of word numbers for each different window; 0 stands before a short one
+        self.matrix, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        pairs = np.unique(np.stack([which.reshape(-1), np.concatenate(owner)], axis=1), axis=0)
+        self.first = np.searchsorted(pairs[:, 0], np.arange(len(self.matrix) + 1))
+        self.owner = pairs[:, 1]
+        self.lengths = (self.matrix > 0).sum(axis=1)
+        self.shortest = int(self.lengths.min()) if len(self.lengths) else 0
+
+    def owners(self, phrase: int) -> list[str]:
+        return [self.items[k] for k in self.owner[self.first[phrase] : self.first[phrase + 1]].tolist()]
 
 
 def occurrences(ids: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +116,7 @@ def scan_shard(texts: list[bytes], phrases: Phrases) -> list[tuple[int, list[int
     if len(place):
         pairs = np.unique((np.searchsorted(begins, place, side="right") - 1) * len(phrases.lengths) + phrase)
         for d, w in zip((pairs // len(phrases.lengths)).tolist(), (pairs % len(phrases.lengths)).tolist(), strict=True):
-            items[d].update(phrases.items[k] for k in phrases.owners[w])
+            items[d].update(phrases.owners(w))
     return [(n, *s, sorted(i)) for n, s, i in zip(counts, spans, items, strict=True)]
 
 
@@ -124,15 +132,51 @@ def removal_spans(
     """doc_id, n_words, starts, ends, items for every row: merged spans in words, and the items found.
 
     A null text has no words; an item without words, or with a null identifier, is not searched for.
-    Repeated rows each get a row; other columns are not read. Whole texts are searched. The benchmark
-    is held whole by every task, so one of more than BENCHMARK_BYTES is refused: search for it in parts.
+    Repeated rows each get a row; other columns are not read. Whole texts are searched. A task holds
+    one part of the benchmark, of about BENCHMARK_BYTES; a larger benchmark is searched for part by
+    part, and what the parts find in a row is merged.
     """
     prepare(docs.sparkSession)
-    picked_items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).filter("item IS NOT NULL AND text IS NOT NULL")
-    size = picked_items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes of text; search for at most {BENCHMARK_BYTES} at once")
-    phrases = Phrases([(r["item"], r["text"].encode()) for r in picked_items.collect()], window)
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).filter("item IS NOT NULL AND text IS NOT NULL")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = -(-size // BENCHMARK_BYTES)
+    if parts <= 1:
+        return search_part(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), items, window)
+    rows = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    items = materialize(items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts))), "items")
+    found = None
+    for part in range(parts):
+        one = search_part(rows.select(F.col(ROW).alias("doc_id"), "text"), items.filter(F.col("part") == part), window)
+        one = materialize(one.filter(F.size("starts") > 0) if part else one, "spans")  # the first part has a row for each
+        found = one if found is None else found.unionByName(one)
+    flat = [F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")]
+    whole = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *flat).withColumnRenamed("doc_id", ROW)
+    return whole.join(rows.select(ROW, "doc_id"), ROW).select("doc_id", "n_words", "starts", "ends", "items").mapInArrow(tidy(merge_spans), SPANS)
+
+
+SPANS = "doc_id long, n_words long, starts array<long>, ends array<long>, items array<string>"
+
+
+def merge_spans(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the spans of several parts: the maximal runs that they cover, and each item once."""
+    for batch in it:
+        starts, ends = [], []
+        for first, after in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            spans: list[list[int]] = []
+            for a, b in sorted(zip(first, after, strict=True)):
+                if spans and a <= spans[-1][1]:
+                    spans[-1][1] = max(b, spans[-1][1])
+                else:
+                    spans.append([a, b])
+            starts.append([s[0] for s in spans])
+            ends.append([s[1] for s in spans])
+        listed = [sorted(set(i)) for i in batch.column(4).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(listed, pa.list_(pa.string()))], names=batch.schema.names)
+
+
+def search_part(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """``removal_spans`` of doc_id, text for one part of the items (item, text), which every task holds."""
+    phrases = Phrases([(r["item"], r["text"].encode()) for r in items.collect()], window)
     shared = docs.sparkSession.sparkContext.broadcast(phrases)
     kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()))
 
@@ -143,8 +187,7 @@ def removal_spans(
             out = pa.table([table.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_words", "starts", "ends", "items"])
             yield from out.combine_chunks().to_batches()
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n_words long, starts array<long>, ends array<long>, items array<string>")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), SPANS)
 
 
 def judge(spans: DataFrame) -> DataFrame:
