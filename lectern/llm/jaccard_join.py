@@ -12,7 +12,8 @@
    members of one group are not compared again.
 
 A list too large for one block is split into chunks; within its group a chunk is searched by itself,
-and different groups' chunks are paired where their sizes allow a link.
+and different groups' chunks are paired where their sizes allow a link. The list of a gram known to
+be frequent is gathered in parts, so no task gets it whole.
 
 Sets are long, so a block first meets as bitmaps of two to four bits a gram. A bit that only one of
 two sets has stands for a gram that only this one has, which bounds their intersection from above.
@@ -27,22 +28,22 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import ROW, blobs, is_small, join_sized, materialize, numbered, only_ids, prepare, without_ids
+from lectern.llm.common import ROW, blobs, is_small, join_sized, materialize, numbered, only_ids, prepare, release, tidy, tidy_group, without_ids
 from lectern.llm.graph import components
 
 #: Two sets link when DEN * |intersection| >= NUM * |union|.
 NUM, DEN = 3, 4
 N_WORDS = 5
 #: Grams of a block of sets, and postings of an index bucket, at about the most.
-BLOCK_GRAMS, BUCKET_POSTINGS = 400_000, 1_000_000
+BLOCK_GRAMS, BUCKET_POSTINGS = 400_000, 300_000
 #: A task counts this many grams at a time and reports those that it meets LOCAL_COUNT times or more;
 #: the HEAVY_GRAMS most frequent ones stand last in the order. Any order gives the same links.
-COUNTED, LOCAL_COUNT, HEAVY_GRAMS = 2_000_000, 8, 1 << 17
+COUNTED, LOCAL_COUNT, HEAVY_GRAMS = 1_000_000, 6, 1 << 17
 #: Sets that a task remembers, so as to index the copies of each once.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 #: Stands for a null identifier where the text of a set is looked up.
 NO_ID = -(1 << 63)
 #: DivideSkip: how much cheaper merging an entry is than probing for it.
@@ -92,7 +93,7 @@ def signatures(texts: DataFrame, n_words: int) -> DataFrame:
             columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n", "class", "bits"])
 
-    return texts.mapInArrow(run, "doc_id long, n long, class long, bits binary")
+    return texts.mapInArrow(tidy(run), "doc_id long, n long, class long, bits binary")
 
 
 def heavy_grams(texts: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +117,7 @@ def heavy_grams(texts: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]
         if held:
             yield count()
 
-    counted = texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = texts.select("text").mapInArrow(tidy(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     got = counted.orderBy(F.desc("n"), "gram").limit(HEAVY_GRAMS).toArrow()
     grams, n = got.column("gram").to_numpy().view(np.uint64), got.column("n").to_numpy()
     order = np.argsort(grams)
@@ -149,6 +150,7 @@ def postings(texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray], buckets: in
             lengths = [len(h[0]) for h in held]
             rows = np.stack([grams.view(np.int64), np.repeat(np.array([h[1] for h in held], np.int64), lengths), np.repeat(np.array([h[2] for h in held], np.int64), lengths)])
             bucket = (grams % np.uint64(buckets)).astype(np.int64)
+            bucket = (bucket + salt_of(grams, rows[1], shared.value)) % buckets
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
             parts = np.split(order, cuts)
@@ -167,37 +169,64 @@ def postings(texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray], buckets: in
                 if size >= BUCKET_POSTINGS:
                     yield packed()
                     held, size = [], 0
+                    release()
         if held:
             yield packed()
 
-    return texts.select("text").mapInArrow(run, "bucket long, rows binary")
+    return texts.select("text").mapInArrow(tidy(run), "bucket long, rows binary")
 
 
-LISTS = "list long, size long, grams long, classes array<long>, sizes array<long>"
+def parts_of(grams: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """In how many parts the list of each gram is gathered: one, but for grams known to fill more than half a bucket."""
+    known, counts = heavy
+    if not len(known):
+        return np.ones(len(grams), np.int64)
+    at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+    return np.where(known[at] == grams, 1 + 2 * counts[at] // BUCKET_POSTINGS, 1)
+
+
+def salt_of(grams: np.ndarray, classes: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which part of its gram's list a class is in; 0 for lists of one part."""
+    return (classes.view(np.uint64) % parts_of(grams, heavy).astype(np.uint64)).astype(np.int64)
+
 
+LISTS = "list long, part long, size long, grams long, classes array<long>, sizes array<long>"
 
-def inverted_lists(table: pa.Table) -> pa.Table:
-    """The distinct lists of two classes or more of one bucket, named by their members' digest."""
+
+def inverted_lists(table: pa.Table, heavy: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    """The distinct lists of two classes or more of one bucket, named by their members' digest.
+
+    Parts of a list gathered in several are named by their gram, and stay even with one class.
+    """
     rows = np.concatenate([np.frombuffer(r, np.int64).reshape(3, -1) for r in table.column("rows").to_pylist()], axis=1)
     rows = rows[:, np.lexsort((rows[1], rows[0]))]
     fresh = np.concatenate([[True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])])
     rows = rows[:, fresh]
     first = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
     after = np.append(first[1:], rows.shape[1])
-    out: dict[int, tuple[int, int]] = {}
-    for a, b in zip(first.tolist(), after.tolist(), strict=True):
-        if b - a > 1:
-            out.setdefault(class_of(rows[1, a:b]), (a, b))
+    grams = rows[0, first].view(np.uint64)
+    parts, salts = parts_of(grams, heavy), salt_of(grams, rows[1, first], heavy)
+    out: dict[tuple[int, int], tuple[int, int]] = {}
+    ends = zip(first.tolist(), after.tolist(), parts.tolist(), salts.tolist(), strict=True)
+    for a, b, n_parts, salt in ends:
+        if n_parts > 1:  # two parts of a list may have met in one bucket
+            own = rows[1, a:b].view(np.uint64) % np.uint64(n_parts)
+            for salt in np.unique(own).tolist():
+                at = a + np.flatnonzero(own == salt)
+                out[int(rows[0, a]), 1 + salt] = at
+        elif b - a > 1:
+            out.setdefault((class_of(rows[1, a:b]), 0), np.arange(a, b))
     spans = list(out.values())
     return pa.table(
         [
-            pa.array(list(out), pa.int64()),
-            pa.array([b - a for a, b in spans], pa.int64()),
-            pa.array([int(rows[2, a:b].sum()) for a, b in spans], pa.int64()),
-            pa.array([rows[1, a:b] for a, b in spans], pa.list_(pa.int64())),
-            pa.array([rows[2, a:b] for a, b in spans], pa.list_(pa.int64())),
+            pa.array([k[0] for k in out], pa.int64()),
+            pa.array([k[1] for k in out], pa.int64()),
+            pa.array([len(at) for at in spans], pa.int64()),
+            pa.array([int(rows[2, at].sum()) for at in spans], pa.int64()),
+            pa.array([rows[1, at] for at in spans], pa.list_(pa.int64())),
+            pa.array([rows[2, at] for at in spans], pa.list_(pa.int64())),
         ],
-        names=["list", "size", "grams", "classes", "sizes"],
+        names=["list", "part", "size", "grams", "classes", "sizes"],
     )
 
 
@@ -231,7 +260,7 @@ def divide_skip(sets: list[np.ndarray], groups: np.ndarray) -> tuple[np.ndarray,
         need = -(-NUM * (int(sizes[x]) + sizes) // (NUM + DEN))
         near = np.flatnonzero((count + n_long >= need) & (np.arange(n_sets) > x) & (DEN * int(sizes[x]) >= NUM * sizes) & (group != group[x]))
         while len(near):
-            block, near = near[: max(1, 2_000_000 // max(1, n_long))], near[max(1, 2_000_000 // max(1, n_long)) :]
+            block, near = near[: max(1, 1_000_000 // max(1, n_long))], near[max(1, 1_000_000 // max(1, n_long)) :]
             if n_long:
                 probe = long[:, None] * n_sets + block[None, :]
                 at = np.minimum(np.searchsorted(keys, probe), len(keys) - 1)
@@ -309,12 +338,12 @@ def search(blocks: DataFrame, texts: DataFrame, classes: DataFrame, n_words: int
     to meet, so no class is a hot key. Blocks meet as bitmaps, then with the sets of what is left.
     """
     few = F.broadcast(blocks) if is_small(blocks) else blocks
-    near = classes.select("class", "n", "bits").join(few.drop("n"), "class").groupBy("block").applyInArrow(sift, "block long, class long, root long, n long")
+    near = classes.select("class", "n", "bits").join(few.drop("n"), "class").groupBy("block").applyInArrow(tidy_group(sift), "block long, class long, root long, n long")
     near = materialize(merge_blocks(materialize(near, "near")), "near")
     speakers = materialize(classes.join(near.select("class").distinct(), "class", "left_semi").select(F.col("speaker").alias("key")).distinct(), "speakers")
     sets = class_sets(only_ids(texts, speakers, "key"), n_words)
     few = (F.broadcast(near) if is_small(near) else near).drop("n")
-    return sets.join(few, "class").groupBy("block").applyInArrow(search_block, "a long, b long")
+    return sets.join(few, "class").groupBy("block").applyInArrow(tidy_group(search_block), "a long, b long")
 
 
 def merge_blocks(blocks: DataFrame) -> DataFrame:
@@ -340,9 +369,15 @@ def link_classes(texts: DataFrame, classes: DataFrame, n_words: int, first_round
     """class, root: the groups that links form, for all classes that link with another."""
     need = F.col("n") - F.ceil(F.col("n") * NUM / DEN).cast("long") + 1
     total = classes.agg(F.sum(need * F.col("k"))).first()[0] or 0
-    dealt = postings(texts, heavy_grams(texts, n_words), max(1, -(-total // BUCKET_POSTINGS)), n_words)
-    lists = materialize(dealt.groupBy("bucket").applyInArrow(inverted_lists, LISTS), "lists")
-    lists = materialize(lists.dropDuplicates(["list"]), "lists")
+    heavy = heavy_grams(texts, n_words)
+    dealt = postings(texts, heavy, max(1, -(-total // BUCKET_POSTINGS)), n_words)
+    shared = texts.sparkSession.sparkContext.broadcast(heavy)
+    lists = materialize(dealt.groupBy("bucket").applyInArrow(tidy_group(lambda t: inverted_lists(t, shared.value)), LISTS), "lists")
+    # of lists with equal members one is enough; the parts of one list are all needed, and together have its size
+    whole = lists.filter("part = 0").dropDuplicates(["list"]).drop("part")
+    split = lists.filter("part > 0")
+    sums = split.groupBy("list").agg(F.sum("size").alias("size"), F.sum("grams").alias("grams")).filter("size > 1")  # at most HEAVY_GRAMS rows
+    lists = materialize(whole.unionByName(split.drop("size", "grams").join(F.broadcast(sums), "list").select(*whole.columns)), "lists")
     member = lists.select("list", "size", "grams", F.explode(F.arrays_zip("classes", "sizes")).alias("m")).select("list", "size", "grams", F.col("m.classes").alias("class"), F.col("m.sizes").alias("n"))
     edges: DataFrame | None = None
     open_lists = materialize(member.withColumn("root", F.col("class")), "members")
@@ -375,19 +410,20 @@ def still_open(member: DataFrame, groups: DataFrame) -> DataFrame:
 def pair_chunks(members: DataFrame) -> DataFrame:
     """block, class, root, n: so that any two members of a list with different groups meet in a block.
 
-    A list of one chunk is one block. In a larger one, the members are split into ranges of their
-    size; the largest group meets the others, and the others each other, only where one range can
+    A list of one chunk is one block. In a larger one, the members are split into bands of their
+    size, and large bands by hash; the largest group meets the others, and the others each other, only where one range can
     link with the other (neither more than DEN / NUM times as large).
     """
     small = members.filter(F.col("grams") <= BLOCK_GRAMS).select(F.xxhash64("list").alias("block"), "class", "root", "n")
     large = members.filter(F.col("grams") > BLOCK_GRAMS)
     counted = large.groupBy("list", "root").agg(F.count("*").alias("k"))
-    top = counted.groupBy("list").agg(F.max(F.struct("k", "root")).alias("t")).select("list", F.col("t.root").alias("top"))
-    # chunks of about half a block's grams, in order of size
-    order = Window.partitionBy("list", "is_top").orderBy("n", "class").rowsBetween(Window.unboundedPreceding, -1)
-    cut = large.join(top, "list").withColumn("is_top", F.col("root") == F.col("top"))
-    cut = cut.withColumn("chunk", (F.coalesce(F.sum("n").over(order), F.lit(0)) / (BLOCK_GRAMS // 2)).cast("long"))
-    cut = materialize(cut.select("list", "class", "root", "n", "is_top", "chunk"), "chunks")
+    top = counted.groupBy("list").agg(F.max(F.struct("k", "root")).alias("t"), F.sum("k").alias("k")).select("list", F.col("t.root").alias("top"), "k")
+    # chunks of about half a block's grams: bands of size, and within a band parts by hash
+    cut = join_sized(large, materialize(top, "tops"), ["list"], "k").withColumn("is_top", F.col("root") == F.col("top"))
+    cut = materialize(cut.withColumn("band", F.floor(F.log(DEN / NUM, F.col("n")))).select("list", "class", "root", "n", "is_top", "band"), "chunks")
+    bands = cut.groupBy("list", "is_top", "band").agg(F.ceil(F.sum("n") / (BLOCK_GRAMS // 2)).alias("parts"), F.count("*").alias("k"))
+    cut = join_sized(cut, materialize(bands, "bands"), ["list", "is_top", "band"], "k")
+    cut = materialize(cut.withColumn("chunk", F.col("band") * (1 << 32) + F.pmod(F.xxhash64("class"), F.col("parts"))).select("list", "class", "root", "n", "is_top", "chunk"), "chunks")
     ranges = materialize(cut.groupBy("list", "is_top", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high")), "ranges")
     left = ranges.filter("NOT is_top").select("list", *(F.col(c).alias(f"l_{c}") for c in ("is_top", "chunk", "low", "high")))
     pairs = left.join(ranges, "list").filter((F.col("is_top") | (F.col("l_chunk") <= F.col("chunk"))) & (DEN * F.col("high") >= NUM * F.col("l_low")) & (DEN * F.col("l_high") >= NUM * F.col("low")))
@@ -405,7 +441,7 @@ def class_sets(texts: DataFrame, n_words: int) -> DataFrame:
             sets = [gram_set(t, n_words) for t in blobs(batch.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "set"])
 
-    return texts.select("key", "text").mapInArrow(run, "class long, set binary")
+    return texts.select("key", "text").mapInArrow(tidy(run), "class long, set binary")
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = N_WORDS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 from lectern.llm import decontaminate, exact_dedup, jaccard_join
@@ -25,3 +26,26 @@ def test_stages_decide_by_row(spark):
     items = spark.createDataFrame([(7, LONG)], "item_id long, text string")
     left = decontaminate.drop_contaminated(docs, items).collect()
     assert sorted((str(r.doc_id), r.text) for r in left) == [("1", "clean text of its own"), ("None", "alone"), ("None", "alone")]
+
+
+def test_benchmark_in_parts_equals_whole(spark, monkeypatch):
+    docs = spark.createDataFrame([(None, LONG), (1, "x " + LONG + " y Z w"), (1, "x " + LONG + " y Z w"), (2, None), (3, "z w v u")], SCHEMA)
+    items = spark.createDataFrame([(k, t) for k, t in enumerate([LONG, "three four", "ten y z", "w", None, "!!", "four five six"])], "item_id long, text string")
+
+    def found():
+        return Counter(tuple(map(str, r)) for r in decontaminate.judge(decontaminate.removal_spans(docs, items)).collect())
+
+    whole = found()
+    assert sum(whole.values()) == 5
+    monkeypatch.setattr(decontaminate, "BENCHMARK_BYTES", 20)
+    assert found() == whole
+
+
+def test_hot_grams_are_gathered_in_parts(spark, monkeypatch):
+    rng = random.Random(3)
+    common = [f"c{k}" for k in range(30)]
+    rows = [(k, " ".join(common[: rng.randrange(20, 30)] + [f"u{k}.{j}" for j in range(rng.randrange(0, 9))])) for k in range(300)]
+    plain = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(spark.createDataFrame(rows, SCHEMA)).collect())
+    monkeypatch.setattr(jaccard_join, "BUCKET_POSTINGS", 50)
+    monkeypatch.setattr(jaccard_join, "BLOCK_GRAMS", 400)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(spark.createDataFrame(rows, SCHEMA)).collect()) == plain
