@@ -135,6 +135,35 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def runs_sql(length: int) -> str:
+    """Maximal runs of the bytes that strings of ``length`` bytes cover which also start elsewhere."""
+    return f"""r{length} AS (SELECT k, i FROM w WHERE s{length} IN (SELECT s{length} FROM w WHERE s{length} IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
+), g{length} AS (SELECT k, i, sum(fresh) OVER (PARTITION BY k ORDER BY i) AS g FROM (SELECT k, i, CASE WHEN i <= lag(i) OVER (PARTITION BY k ORDER BY i) + {length} THEN 0 ELSE 1 END AS fresh FROM r{length})
+), runs{length} AS (SELECT k, min(i) AS a, max(i) + {length} AS b FROM g{length} GROUP BY k, g)"""
+
+
+#: Texts are hexadecimal and taken a piece at a time; a string's hash is made of those of its parts of a hundred bytes.
+WINDOWS_SQL = """c AS (SELECT k, c * 500 AS begin_, substr(h, 1000 * c + 1, 1198) AS p FROM d, unnest(range(0, length(h) // 1000 + 1)) AS t(c)
+), q AS (SELECT k, begin_ + i AS i, hash(substr(p, 2 * i + 1, 200)) AS q FROM c, unnest(range(0, least(500, greatest(length(p) // 2 - 99, 0)))) AS t(i)
+), l AS (SELECT k, i, q, lead(q, 100) OVER o AS q1, lead(q, 200) OVER o AS q2, lead(q, 300) OVER o AS q3 FROM q WINDOW o AS (PARTITION BY k ORDER BY i)
+), w AS (SELECT k, i, CASE WHEN q2 IS NOT NULL THEN hash(q, q1, q2) END AS s300, CASE WHEN q3 IS NOT NULL THEN hash(q, q1, q2, q3) END AS s400 FROM l)"""
+SPACE_SQL = "('20', '09', '0A', '0B', '0C', '0D')"
+OP6_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), {WINDOWS_SQL}, {runs_sql(400)}, {runs_sql(300)}, pieces AS (
+  SELECT k, a, b, lead(a) OVER (PARTITION BY k ORDER BY a) AS after, row_number() OVER (PARTITION BY k ORDER BY a) AS place FROM runs400
+), kept AS (
+  SELECT d.k, string_agg(CASE WHEN place = 1 THEN substr(h, 1, 2 * a) ELSE '' END || substr(h, 2 * b + 1, 2 * (coalesce(after, length(h) // 2) - b)), '' ORDER BY a) AS h, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans
+  FROM pieces JOIN d USING (k) GROUP BY d.k
+), passages AS (
+  SELECT k, count(*) AS n FROM runs300 JOIN d USING (k)
+  WHERE len(list_filter(range(a, b), lambda i: substr(h, 2 * i + 1, 2) NOT IN {SPACE_SQL} AND (i = 0 OR substr(h, 2 * i - 1, 2) IN {SPACE_SQL}))) > 50 GROUP BY k
+)
+SELECT doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256, coalesce(n, 0) AS n_passages
+FROM d LEFT JOIN kept USING (k) LEFT JOIN passages USING (k)
+"""
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(table(spark, sf_dir, "documents"))
 
@@ -172,4 +201,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,
     "op5_ngram_jaccard": OP5_SQL,
     "op4_url_filters": OP4_SQL,
+    "op6_suffix_array_dedup": OP6_SQL,
 }

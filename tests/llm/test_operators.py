@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from lectern.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing, quality, secrets, substring_dedup, token_output, tokens, url_filter
+from lectern.llm import decontaminate, exact_dedup, graph, jaccard_join, language_id, packing, quality, secrets, substring_dedup, token_output, tokens, url_filter
 from lectern.llm.fm_index import FMIndex, suffix_array
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k0 long, block string, node int"
@@ -119,6 +119,7 @@ def brute_groups(rows):
 
 @pytest.mark.parametrize("block", [400_000, 2000])
 def test_jaccard_groups(spark, corpus, block, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_EDGES", 0 if block == 2000 else graph.TASK_EDGES)
     monkeypatch.setattr(jaccard_join, "BLOCK_GRAMS", block)  # the small one splits lists into chunks
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(table(spark, corpus)).collect())
     assert got == brute_groups(corpus)
@@ -159,21 +160,37 @@ def test_substring_dedup(spark, corpus, block, monkeypatch):
     rng = random.Random(2)
     passage = words(rng, 150)
     rows += [(200 + k, words(rng, 40) + " " + passage[k:] + " " + words(rng, 30)) for k in range(12)]
+    rows += [(300, words(rng, 30) + " " + passage[:330]), (301, passage[:330])]  # shared, but under 400 bytes
     count = Counter()
     for _, t in rows:
         b = (t or "").encode()
-        count.update(b[p : p + 400] for p in range(len(b) - 399))
-    want = []
-    for i, t in rows:
-        b, end, flags = (t or "").encode(), 0, []
+        count.update(b[p : p + n] for n in (300, 400) for p in range(len(b) - n + 1))
+
+    def cover(b, n):
+        end, flags = 0, []
         for p in range(len(b)):
-            if p <= len(b) - 400 and count[b[p : p + 400]] > 1:
-                end = p + 400
+            if p <= len(b) - n and count[b[p : p + n]] > 1:
+                end = p + n
             flags.append(p < end)
+        return flags
+
+    want = []
+    for i, t in rows:
+        b = (t or "").encode()
+        flags, shared = cover(b, 400), cover(b, 300)
         kept = bytes(c for c, f in zip(b, flags, strict=True) if not f)
         spans = sum(f and (k == 0 or not flags[k - 1]) for k, f in enumerate(flags))
-        want.append((i, len(b), sum(flags), spans, hashlib.sha256(kept).hexdigest()))
-    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.substring_dedup(table(spark, rows)).collect())
+        begins = [bool(b[k : k + 1].strip(b" \t\n\v\f\r")) and (k == 0 or not b[k - 1 : k].strip(b" \t\n\v\f\r")) for k in range(len(b))]
+        runs, at = 0, 0
+        while at < len(b):
+            end = at
+            while end < len(b) and shared[end]:
+                end += 1
+            runs += sum(begins[at:end]) > 50
+            at = max(end, at + 1)
+        want.append((i, len(b), sum(flags), spans, hashlib.sha256(kept).hexdigest(), runs))
+    assert any(w[2] == 0 and w[5] for w in want)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passages) for r in substring_dedup.substring_dedup(table(spark, rows)).collect())
     assert got == sorted(want)
 
 
