@@ -53,6 +53,10 @@ def strip_image_placeholders(markdown: Column) -> Column:
     return F.when(markdown.rlike(r"(?m)^\s*==>.*<==\s*$"), F.regexp_replace(without, r"\n{3,}", "\n\n")).otherwise(markdown)
 
 
+def count_image_placeholders(markdown: Column) -> Column:
+    return F.regexp_count(markdown, F.lit(r"(?m)^\s*==>.*<==\s*$"))
+
+
 def substantive_length(text: Column) -> Column:
     return F.length(F.regexp_replace(F.regexp_replace(text, PAGE_MARKER, ""), r"[#*|\-\s]", ""))
 
@@ -123,12 +127,12 @@ def plausible_year(year: Column, current: Column) -> Column:
 def extract_doi(text: Column) -> Column:
     """The first DOI, without punctuation that follows it."""
     found = F.regexp_extract(text, r"10\.\d{4,9}/[-._;()/:A-Za-z0-9]+", 0)
-    return F.nullif(F.regexp_replace(found, r"[.,;:)]+$", ""), F.lit(""))
+    return F.nullif(F.regexp_replace(found, r"[.,;)\]]+$", ""), F.lit(""))
 
 
 def citation_year(text: Column) -> Column:
     """A year in parentheses, else any year of the last or this century."""
-    inside = F.regexp_extract(text, r"\((\d{4})[a-z]?\)", 1)
+    inside = F.regexp_extract(text, r"\(((?:19|20)\d{2})[a-z]?\)", 1)
     loose = F.regexp_extract(text, r"\b((?:19|20)\d{2})\b", 1)
     return F.coalesce(F.nullif(inside, F.lit("")), F.nullif(loose, F.lit(""))).cast("int")
 
