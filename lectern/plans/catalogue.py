@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.plans import concepts, corpus, library, search, texts
+from lectern.plans import concepts, corpus, library, registry_queries, search, texts
 from lectern.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "concepts", "corpus", "library", "search", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "concepts", "corpus", "library", "registry_queries", "search", "texts"]
