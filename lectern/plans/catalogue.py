@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.plans import concepts, corpus, evaluation, library, registry_queries, search, taxonomy, texts
+from lectern.plans import chunks, concepts, corpus, evaluation, library, registry_queries, search, taxonomy, texts
 from lectern.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "concepts", "corpus", "evaluation", "library", "registry_queries", "search", "taxonomy", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "chunks", "concepts", "corpus", "evaluation", "library", "registry_queries", "search", "taxonomy", "texts"]

@@ -45,14 +45,14 @@ def review_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", E.judge_mean(a, b, c).alias("mean"), E.verdict_of(a, b, c).alias("verdict"), E.weakest(a, b, c).alias("low"))
 
 
-@query("""WITH c AS (SELECT conv_id, turn, role, string_split(text, ' ') AS w, text FROM conversations WHERE text IS NOT NULL), x AS (SELECT *, [upper(w[1]), 'zzz', w[2]] AS e, CASE WHEN turn % 2 = 0 THEN lower(text) || ' ' ELSE w[1] END AS expected FROM c)
+@query("""WITH c AS (SELECT conv_id, turn, role, string_split(text, ' ') AS w, text FROM conversations WHERE text IS NOT NULL), x AS (SELECT *, [lower(w[1]), 'zzz', w[2]] AS e, CASE WHEN turn % 2 = 0 THEN lower(text) || ' ' ELSE w[1] END AS expected FROM c)
 SELECT conv_id, turn, role, CASE WHEN turn % 5 = 4 THEN NULL WHEN lower(trim(expected)) = lower(trim(text)) THEN 1.0 ELSE 0.0 END AS exact, round(len(list_filter(e, lambda v: contains(lower(text), lower(v)))) / len(list_filter(e, lambda v: TRUE)), 6) AS contained,
   len(list_filter(w[1:4], lambda f: len(list_filter(e, lambda v: contains(lower(f), lower(v)) OR contains(lower(v), lower(f)))) = 0)) AS n_extra FROM x WHERE len(w) > 1""")
 def answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, text = F.split("text", " "), F.col("text")
     rows = table(spark, sf_dir, "conversations").filter(F.size(w) > 1)
     expected = F.when(F.col("turn") % 5 == 4, None).when(F.col("turn") % 2 == 0, F.concat(F.lower(text), F.lit(" "))).otherwise(w[0])
-    names = F.array(F.upper(w[0]), F.lit("zzz"), w[1])
+    names = F.array(F.lower(w[0]), F.lit("zzz"), w[1])
     return rows.select("conv_id", "turn", "role", E.exact_match(expected, text).alias("exact"), F.round(E.contains_all(names, text), 6).alias("contained"), F.size(E.extra_names(names, F.slice(w, 1, 4))).cast("long").alias("n_extra"))
 
 
