@@ -34,7 +34,7 @@ LENGTH, PASSAGE = 400, 300
 #: A run of repeated bytes with more words than this is a passage.
 PASSAGE_WORDS = 50
 #: Context bytes of a block of suffixes at most; a fingerprint with more is dealt by string.
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 20
 #: The bitmap of repeated fingerprints has 16 bits for each, and this many at most (32 MB).
 BITMAP_BITS = 1 << 28
 #: Documents with spans that are broadcast to the texts; more are joined by shuffle.
@@ -122,6 +122,14 @@ def runs_of(flags: np.ndarray) -> np.ndarray:
     return np.stack([first, after - 1], axis=1).reshape(-1).astype(np.int32)
 
 
+def runs_by_text(flags: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
+    """``runs_of`` for each of the texts that begin at ``begins``, counted from there; no run reaches into the next text."""
+    runs = runs_of(flags).reshape(-1, 2)
+    cuts = np.searchsorted(runs[:, 0], begins)
+    runs = runs - np.repeat(begins, np.diff(np.append(cuts, len(runs))))[:, None].astype(np.int32)
+    return [r.reshape(-1) for r in np.split(runs, cuts[1:])]
+
+
 def repeated_strings(texts: list[bytes], strings: list[int], full: list[int], length: int, passage: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each text, runs of the strings (by start) of ``passage`` and of ``length`` bytes that occur at another place of these texts."""
     raw = b"".join(texts)
@@ -141,7 +149,8 @@ def repeated_strings(texts: list[bytes], strings: list[int], full: list[int], le
     group = np.concatenate([[0], np.cumsum(common < length)])[: len(order)]
     there = whole[order]
     long[order] = there & (np.bincount(group[there], minlength=int(group[-1]) + 1 if len(group) else 1)[group] > 1)
-    return [(runs_of(short[b : b + n]), runs_of(long[b : b + k])) for b, n, k in zip(begins.tolist(), strings, full, strict=True)]
+    # the last bytes of a text begin no string, so runs of neighbours stay apart
+    return list(zip(runs_by_text(short, begins), runs_by_text(long, begins), strict=True))
 
 
 def sorter(length: int, passage: int) -> Callable[[pa.Table], pa.Table]:
@@ -259,12 +268,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def passages(raw: bytes, spans: list[int], words: int) -> int:
     """How many of the spans (flat pairs of bytes) have more than ``words`` words beginning in them."""
-    if not spans:
-        return 0
-    data = np.frombuffer(raw, np.uint8)
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    begins = np.concatenate([[0], np.cumsum(~space & np.concatenate([[True], space[:-1]]))])
-    return int((begins[spans[1::2]] - begins[spans[0::2]] > words).sum())
+
+    def begin(a: int, b: int) -> int:
+        within = a > 0 and len(raw[a - 1 : a + 1].split()) == 1 and not raw[a - 1 : a + 1][:1].isspace() and not raw[a : a + 1].isspace()
+        return len(raw[a:b].split()) - within
+
+    return sum(begin(a, b) > words for a, b in zip(spans[0::2], spans[1::2], strict=True))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_kept: bool = False, passage: int = PASSAGE, words: int = PASSAGE_WORDS) -> DataFrame:

@@ -71,17 +71,18 @@ def sort_suffixes(raw: bytes, wanted: np.ndarray, depth: int) -> np.ndarray:
 
 def common_prefixes(raw: bytes, order: np.ndarray, depth: int) -> np.ndarray:
     """The length, ``depth`` at most, of the prefix that each suffix but the first shares with the one before."""
-    padded = np.concatenate([np.frombuffer(raw, np.uint8), np.zeros(depth + 8, np.uint8)])
-    words = np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))
+    padded = raw + bytes(depth + 8)
+    words = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
     left, right = order[:-1], order[1:]
     out = np.full(len(right), depth, np.int64)
     live = np.arange(len(right))
     for at in range(0, depth, 8):
         if not len(live):
             break
-        differ = words[left[live] + at] != words[right[live] + at]
-        other = differ.any(axis=1)
-        out[live[other]] = np.minimum(depth, at + differ[other].argmax(axis=1))
+        differ = words[left[live] + at] ^ words[right[live] + at]
+        other = differ != 0
+        lowest = differ[other] & (~differ[other] + np.uint64(1))  # the first byte that differs is the lowest
+        out[live[other]] = np.minimum(depth, at + np.bitwise_count(lowest - np.uint64(1)).astype(np.int64) // 8)
         live = live[~other]
     # a suffix has no bytes beyond the end of the text
     return np.minimum(out, len(raw) - np.maximum(left, right))
