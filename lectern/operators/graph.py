@@ -1,23 +1,21 @@
 """Graph operators over edge tables: components, degrees, ancestors, bounded neighbourhoods.
 
 Edge tables hold scalars only. Loops run on the driver over rounds, never over rows; each round's
-table is a reliable checkpoint in the shared folder, so a lost executor costs no earlier round.
+table is written to the shared folder, so a lost executor costs no earlier round.
 """
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.scratch import join_sized, materialize
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that ``spark.checkpoint.dir`` names; one is made only where it is unset."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lectern-"))
-    return df.checkpoint()
+#: So many edges, or fewer, are joined within one task (about 20 MB); more are contracted until they are as few.
+TASK_EDGES = 1 << 17
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -26,22 +24,64 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return kept.unionByName(kept.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
+def joined(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, parent: each node of a bounded set of edges (a, b) with the smallest node that it reaches."""
+    parent: dict = {}
+
+    def root(x):  # noqa: ANN001, ANN202 - nodes are of any type that has an order
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = parent[x]
+        return x
+
+    kind = None
+    for batch in it:
+        kind = batch.schema.field(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    if kind is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(list(parent), kind), pa.array([root(x) for x in list(parent)], kind)], names=["node", "parent"])
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component: the smallest node reachable; a node without edges is its own component.
 
-    Every node takes the smallest label around it and then its label's label, so labels travel at
-    doubling distances; it ends when a round changes nothing.
+    In each round every node takes its smallest neighbour, if smaller, as parent, and its parent's
+    parent; edges are redrawn between parents, and loops and repeats go. Nodes with a large share of the
+    edges are joined by broadcast, so none meets in one task. When at most TASK_EDGES edges are left,
+    one task joins them. Every table in between is written to the shared folder.
     """
-    around = cut_lineage(both_ways(edges))
-    label = cut_lineage(nodes.select(F.col("node"), F.col("node").alias("label")).distinct())
-    while True:
-        heard = around.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
-        low = label.join(heard, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("low"))
-        jump = label.select(F.col("node").alias("low"), F.col("label").alias("far"))
-        fresh = cut_lineage(low.join(jump, "low", "left").select("node", "old", F.least("low", "far").alias("label")))
-        label = fresh.select("node", "label")
-        if fresh.filter("label <> old").isEmpty():
-            return label.withColumnRenamed("label", "component")
+    edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    kind = edges.schema["a"].dataType.simpleString()
+    maps = []
+    while left := edges.count():
+        if left <= TASK_EDGES:
+            maps.append(materialize(edges.repartition(1).mapInArrow(joined, f"node {kind}, parent {kind}"), "parents"))
+            break
+        near = both_ways(edges).groupBy("a").agg(F.min("b").alias("low"))
+        parent = materialize(near.select(F.col("a").alias("node"), F.least("a", "low").alias("parent")), "parents")
+        grand = parent.select(F.col("node").alias("parent"), F.col("parent").alias("root"))
+        up = materialize(parent.groupBy("parent").agg(F.count("*").alias("n")).join(grand, "parent"), "grandparents")
+        parent = materialize(join_sized(parent, up, ["parent"], "n").select("node", F.col("root").alias("parent")), "parents")
+        maps.append(parent)
+        for end in ("a", "b"):
+            to = materialize(edges.groupBy(end).agg(F.count("*").alias("n")).join(parent.withColumnRenamed("node", end), end), "ends")
+            edges = join_sized(edges, to, [end], "n").drop(end, "n").withColumnRenamed("parent", end)
+        edges = materialize(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    label = None
+    for parent in reversed(maps):
+        if label is None:
+            label = parent.withColumnRenamed("parent", "root")
+            continue
+        known = label.select(F.col("node").alias("parent"), "root")
+        to = materialize(parent.groupBy("parent").agg(F.count("*").alias("n")).join(known, "parent", "left").withColumn("root", F.coalesce("root", "parent")), "roots")
+        label = materialize(join_sized(parent, to, ["parent"], "n").select("node", "root"), "labels")
+    own = nodes.select("node").distinct()
+    if label is None:
+        return own.withColumn("component", F.col("node"))
+    # parents fall from round to round, so a root is the smallest of its component
+    return own.join(label, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -70,10 +110,10 @@ def min_degree(degree: DataFrame) -> DataFrame:
 def ancestors(edges: DataFrame) -> DataFrame:
     """node, ancestor: every pair joined by a path of child -> parent edges, once however many paths there are."""
     step = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct()
-    known = frontier = cut_lineage(step)
+    known = frontier = materialize(step, "ancestors")
     while not frontier.isEmpty():
         up = frontier.join(step.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next")), "ancestor").select("node", F.col("next").alias("ancestor")).distinct()
-        frontier = cut_lineage(up.join(known, ["node", "ancestor"], "left_anti"))
+        frontier = materialize(up.join(known, ["node", "ancestor"], "left_anti"), "ancestors")
         known = known.unionByName(frontier)
     return known
 
@@ -84,7 +124,7 @@ def neighbourhood(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     seen = start.select("node", F.lit(0).alias("distance")).distinct()
     for d in range(1, depth + 1):
         reached = seen.filter(F.col("distance") == d - 1).join(around, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
-        seen = cut_lineage(seen.unionByName(reached.join(seen, "node", "left_anti").withColumn("distance", F.lit(d))))
+        seen = materialize(seen.unionByName(reached.join(seen, "node", "left_anti").withColumn("distance", F.lit(d))), "reached")
     return seen
 
 

@@ -160,20 +160,25 @@ def knn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn(spark, sf_dir).filter("score >= 0.2")
 
 
+# Orders and parts that a line of fifty pieces joins; parts are numbered on from ten billion.
+GRAPH_SQL = """e AS (SELECT l_orderkey AS a, l_partkey + 10000000000 AS b FROM lineitem WHERE l_quantity = 50 UNION SELECT l_partkey + 10000000000, l_orderkey FROM lineitem WHERE l_quantity = 50
+), nodes AS (SELECT o_orderkey AS node FROM orders UNION ALL SELECT p_partkey + 10000000000 FROM part)"""
+
+
 def nodes_and_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    nodes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"))
-    return nodes, knn(spark, sf_dir).select(F.col("query").alias("a"), F.col("doc").alias("b"))
+    """A graph that is whole by itself: all orders and parts are nodes."""
+    part = F.col("p_partkey") + 10_000_000_000
+    nodes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node")).unionByName(table(spark, sf_dir, "part").select(part.alias("node")))
+    return nodes, table(spark, sf_dir, "lineitem").filter("l_quantity = 50").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 10_000_000_000).alias("b"))
 
 
-@query(f"""WITH RECURSIVE {KNN_SQL}, e AS (SELECT query AS a, doc AS b FROM knn UNION SELECT doc, query FROM knn
-), r AS (SELECT vec_id AS node, vec_id AS other FROM embeddings UNION SELECT node, b FROM r JOIN e ON a = other)
+@query(f"""WITH RECURSIVE {GRAPH_SQL}, r AS (SELECT node, node AS other FROM nodes UNION SELECT node, b FROM r JOIN e ON a = other)
 SELECT node, min(other) AS component FROM r GROUP BY node""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(*nodes_and_edges(spark, sf_dir))
 
 
-DEGREE_SQL = f"""{KNN_SQL}, e AS (SELECT query AS a, doc AS b FROM knn UNION SELECT doc, query FROM knn
-), d AS (SELECT vec_id AS node, (SELECT count(*) FROM e WHERE a = vec_id) AS degree FROM embeddings
+DEGREE_SQL = f"""{GRAPH_SQL}, d AS (SELECT node, count(b) AS degree FROM nodes LEFT JOIN e ON a = node GROUP BY node
 ), v AS (SELECT list_sort(list(degree)) AS v, count(*) AS n FROM d WHERE degree > 0
 ), q AS (SELECT v, n, 0.25 * (n + 1) AS pos, CAST(least(greatest(floor(0.25 * (n + 1)), 1), n - 1) AS INT) AS low FROM v
 ), m AS (SELECT CAST(CASE WHEN n < 4 THEN 1 ELSE greatest(1, round_even(v[low] + (pos - low) * (v[low + 1] - v[low]), 0)) END AS BIGINT) AS min_degree FROM q)"""
@@ -191,13 +196,14 @@ def min_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.min_degree(graph.degrees(*nodes_and_edges(spark, sf_dir)))
 
 
-@query(f"""WITH {KNN_SQL}, e AS (SELECT query AS a, doc AS b FROM knn UNION SELECT doc, query FROM knn
-), n1 AS (SELECT b AS node FROM e WHERE a = 0), n2 AS (SELECT b AS node FROM e WHERE a IN (SELECT node FROM n1)
-), every AS (SELECT 0 AS node, 0 AS distance UNION ALL SELECT node, 1 FROM n1 UNION ALL SELECT node, 2 FROM n2)
-SELECT CAST(node AS BIGINT) AS node, min(distance) AS distance FROM every GROUP BY node""")
+@query(f"""WITH {GRAPH_SQL}, n0 AS (SELECT DISTINCT a AS node FROM e WHERE a < 10000000000 AND a % 10 = 1
+), n1 AS (SELECT b AS node FROM e WHERE a IN (SELECT node FROM n0)), n2 AS (SELECT b AS node FROM e WHERE a IN (SELECT node FROM n1)
+), every AS (SELECT node, 0 AS distance FROM n0 UNION ALL SELECT node, 1 FROM n1 UNION ALL SELECT node, 2 FROM n2)
+SELECT node, min(distance) AS distance FROM every GROUP BY node""")
 def bfs_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = nodes_and_edges(spark, sf_dir)
-    return graph.neighbourhood(edges, nodes.filter("node = 0"), 2)
+    """What lies within two edges of a stated set of orders."""
+    _, edges = nodes_and_edges(spark, sf_dir)
+    return graph.neighbourhood(edges, edges.filter("a % 10 = 1").select(F.col("a").alias("node")), 2)
 
 
 VOCABULARY_SQL = f"""{TERMS_SQL}, b AS (SELECT term, count(*) AS df, sum(tf) AS tf FROM counts GROUP BY term
@@ -249,7 +255,7 @@ def taxonomy_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts climb, not members: each node's own count is summed over its distinct descendants."""
     direct = table(spark, sf_dir, "customer").groupBy(F.concat(F.lit("n"), "c_nationkey").alias("node")).agg(F.count_distinct("c_custkey").alias("n"))
     up = graph.ancestors(fields(spark, sf_dir)).unionByName(direct.select("node", F.col("node").alias("ancestor")))
-    return direct.join(F.broadcast(up), "node").groupBy(F.col("ancestor").alias("field")).agg(F.sum("n").alias("n_rolled_up"))
+    return direct.join(up, "node").groupBy(F.col("ancestor").alias("field")).agg(F.sum("n").alias("n_rolled_up"))
 
 
 @query(f"WITH {FIELDS_SQL} SELECT DISTINCT parent AS field FROM edges WHERE parent NOT IN (SELECT child FROM edges)")

@@ -1 +1 @@
-"""Sources of the engine."""
+"""Sources of documents."""
