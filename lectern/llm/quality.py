@@ -137,12 +137,15 @@ def fit(
 
     Document frequencies are those of all documents. The space and the voters come from a sample of
     at most ``max_labelled`` rows, those whose identifiers have the smallest hashes; half of them
-    for each label where there are enough. Labels other than 0 and 1, and null ones, are not used.
+    for each label where there are enough. Labels other than 0 and 1, and null ones, are not used, nor
+    are rows without identifier; one with several labels has the smaller one. Of documents that repeat
+    an identifier each is a voter.
     """
     frequencies, total = document_frequencies(docs, text_col)
     idf = np.log((1 + total) / (1 + frequencies)).astype(np.float32) + 1
     usable = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
-    usable = usable.filter(F.col("label").isin(0, 1) & ~held_out("id")).withColumn("h", F.xxhash64(F.col("id").cast("string"))).dropDuplicates(["id"])
+    usable = usable.filter(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out("id"))
+    usable = usable.groupBy("id").agg(F.min("label").alias("label")).withColumn("h", F.xxhash64(F.col("id").cast("string")))
     chosen = []
     for label in (0, 1):
         chosen += [(r["id"], r["label"]) for r in usable.filter(F.col("label") == label).orderBy("h", "id").limit(max_labelled // 2).collect()]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
-from lectern.llm import decontaminate, exact_dedup, jaccard_join
+from lectern.llm import decontaminate, exact_dedup, jaccard_join, quality, url_filter
 
 SCHEMA = "doc_id long, text string"
 LONG = "one two three four five six seven eight nine ten"
@@ -49,3 +49,36 @@ def test_hot_grams_are_gathered_in_parts(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BUCKET_POSTINGS", 50)
     monkeypatch.setattr(jaccard_join, "BLOCK_GRAMS", 400)
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(spark.createDataFrame(rows, SCHEMA)).collect()) == plain
+
+
+def test_quality_of_rows_without_or_with_repeated_identifiers(spark):
+    ids = [r.id for r in spark.range(60).filter(~quality.held_out("id")).limit(8).collect()]
+    docs = [(i, ("plain words of a line " if k % 2 else "X9 ## $$ ") * 30) for k, i in enumerate(ids)]
+    docs += [(None, "plain words of a line"), (None, None), docs[0]]
+    labels = [(i, k % 2) for k, i in enumerate(ids)] + [(ids[1], 0), (None, 1), (ids[2], 7), (ids[3], None)]
+    table = spark.createDataFrame(docs, SCHEMA)
+    models = [quality.fit(table, spark.createDataFrame(rows, "doc_id long, quality int")) for rows in (labels, labels[::-1])]
+    assert len(models[0].labels) == 9 and models[0].labels.tolist() == models[1].labels.tolist()
+    assert models[0].labels.sum() == 3  # the second identifier has both labels
+    got = quality.score(table, models[0]).collect()
+    assert len(got) == len(docs) and all(0 <= r.score <= 1 for r in got)
+
+
+def test_urls_of_rows_without_or_with_repeated_identifiers(spark):
+    rows = [(None, "http://a.net/x"), (1, None), (1, None), (2, "http://a.net/x"), (2, "http://a.net/x")]
+    got = Counter((r.page_id, r.host, r.rule, r.verdict) for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect())
+    assert got == Counter({(None, "a.net", "net/", "block"): 1, (1, "", None, "allow"): 2, (2, "a.net", "net/", "block"): 2})
+
+
+def test_pipeline_stages_on_empty_and_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(1, LONG)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    odd = [(None, None, None, None, None), (1, "", "en", None, 0), (1, "", "en", None, 0), (2, "the same line of words", "en", "s", 3), (2, "the same line of words", "en", "s", 3), (3, "das ist ein anderer text hier", "de", "s", 3)]
+    for rows in ([], odd):
+        docs = spark.createDataFrame(rows, schema)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, docs, str(tmp_path))
+            assert after.columns == docs.columns and after.count() <= docs.count()
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(rows)
