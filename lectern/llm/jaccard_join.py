@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import ROW, blobs, is_small, join_sized, materialize, numbered, only_ids, prepare, release, tidy, tidy_group, without_ids
+from lectern.llm.common import ROW_KEY, blobs, is_small, join_sized, materialize, only_ids, prepare, release, row_keys, tidy, tidy_group, without_rows
 from lectern.llm.graph import components
 
 #: Two sets link when DEN * |intersection| >= NUM * |union|.
@@ -136,7 +136,7 @@ def prefix(grams: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarra
     return grams[:need]
 
 
-def postings(texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray], buckets: int, n_words: int) -> DataFrame:
+def postings(texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray], split: tuple[np.ndarray, np.ndarray], buckets: int, n_words: int) -> DataFrame:
     """bucket, and packed (gram, class, n) of the prefixes of all sets, dealt by gram."""
     shared = texts.sparkSession.sparkContext.broadcast(heavy)
 
@@ -150,7 +150,7 @@ def postings(texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray], buckets: in
             lengths = [len(h[0]) for h in held]
             rows = np.stack([grams.view(np.int64), np.repeat(np.array([h[1] for h in held], np.int64), lengths), np.repeat(np.array([h[2] for h in held], np.int64), lengths)])
             bucket = (grams % np.uint64(buckets)).astype(np.int64)
-            bucket = (bucket + salt_of(grams, rows[1], shared.value)) % buckets
+            bucket = (bucket + salt_of(grams, rows[1], split)) % buckets
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
             parts = np.split(order, cuts)
@@ -176,24 +176,32 @@ def postings(texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray], buckets: in
     return texts.select("text").mapInArrow(tidy(run), "bucket long, rows binary")
 
 
-def parts_of(grams: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """In how many parts the list of each gram is gathered: one, but for grams known to fill more than half a bucket."""
+def split_grams(heavy: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The grams known to fill half a bucket or more, whose lists are gathered in parts, and their counts."""
     known, counts = heavy
+    return known[2 * counts >= BUCKET_POSTINGS], counts[2 * counts >= BUCKET_POSTINGS]
+
+
+def parts_of(grams: np.ndarray, split: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """In how many parts the list of each gram is gathered: one, but for those to split."""
+    known, counts = split
     if not len(known):
         return np.ones(len(grams), np.int64)
     at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
     return np.where(known[at] == grams, 1 + 2 * counts[at] // BUCKET_POSTINGS, 1)
 
 
-def salt_of(grams: np.ndarray, classes: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def salt_of(grams: np.ndarray, classes: np.ndarray, split: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Which part of its gram's list a class is in; 0 for lists of one part."""
-    return (classes.view(np.uint64) % parts_of(grams, heavy).astype(np.uint64)).astype(np.int64)
+    if not len(split[0]):
+        return np.zeros(len(grams), np.int64)
+    return (classes.view(np.uint64) % parts_of(grams, split).astype(np.uint64)).astype(np.int64)
 
 
 LISTS = "list long, part long, size long, grams long, classes array<long>, sizes array<long>"
 
 
-def inverted_lists(table: pa.Table, heavy: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+def inverted_lists(table: pa.Table, split: tuple[np.ndarray, np.ndarray]) -> pa.Table:
     """The distinct lists of two classes or more of one bucket, named by their members' digest.
 
     Parts of a list gathered in several are named by their gram, and stay even with one class.
@@ -204,17 +212,16 @@ def inverted_lists(table: pa.Table, heavy: tuple[np.ndarray, np.ndarray]) -> pa.
     rows = rows[:, fresh]
     first = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
     after = np.append(first[1:], rows.shape[1])
-    grams = rows[0, first].view(np.uint64)
-    parts, salts = parts_of(grams, heavy), salt_of(grams, rows[1, first], heavy)
-    out: dict[tuple[int, int], tuple[int, int]] = {}
-    ends = zip(first.tolist(), after.tolist(), parts.tolist(), salts.tolist(), strict=True)
-    for a, b, n_parts, salt in ends:
+    parts = parts_of(rows[0, first].view(np.uint64), split)
+    several = np.flatnonzero((after - first > 1) | (parts > 1))  # most grams are in one set alone
+    out: dict[tuple[int, int], np.ndarray] = {}
+    for a, b, n_parts in zip(first[several].tolist(), after[several].tolist(), parts[several].tolist(), strict=True):
         if n_parts > 1:  # two parts of a list may have met in one bucket
             own = rows[1, a:b].view(np.uint64) % np.uint64(n_parts)
             for salt in np.unique(own).tolist():
                 at = a + np.flatnonzero(own == salt)
                 out[int(rows[0, a]), 1 + salt] = at
-        elif b - a > 1:
+        else:
             out.setdefault((class_of(rows[1, a:b]), 0), np.arange(a, b))
     spans = list(out.values())
     return pa.table(
@@ -370,9 +377,9 @@ def link_classes(texts: DataFrame, classes: DataFrame, n_words: int, first_round
     need = F.col("n") - F.ceil(F.col("n") * NUM / DEN).cast("long") + 1
     total = classes.agg(F.sum(need * F.col("k"))).first()[0] or 0
     heavy = heavy_grams(texts, n_words)
-    dealt = postings(texts, heavy, max(1, -(-total // BUCKET_POSTINGS)), n_words)
-    shared = texts.sparkSession.sparkContext.broadcast(heavy)
-    lists = materialize(dealt.groupBy("bucket").applyInArrow(tidy_group(lambda t: inverted_lists(t, shared.value)), LISTS), "lists")
+    split = split_grams(heavy)
+    dealt = postings(texts, heavy, split, max(1, -(-total // BUCKET_POSTINGS)), n_words)
+    lists = materialize(dealt.groupBy("bucket").applyInArrow(tidy_group(lambda t: inverted_lists(t, split)), LISTS), "lists")
     # of lists with equal members one is enough; the parts of one list are all needed, and together have its size
     whole = lists.filter("part = 0").dropDuplicates(["list"]).drop("part")
     split = lists.filter("part > 0")
@@ -471,8 +478,23 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all columns: of each group the row with the smallest identifier, null ones last."""
-    rows = numbered(docs)
-    groups = jaccard_groups(rows, ROW, text_col).select(F.col("doc_id").alias(ROW), "component_id")
-    found = materialize(groups.join(rows.select(ROW, F.col(id_col).cast("long").alias("id")), ROW), "members")
-    stay = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", ROW)).alias("best")).select(F.col(f"best.{ROW}").alias(ROW))
-    return without_ids(rows, found.select(ROW).join(stay, ROW, "left_anti"), ROW).drop(ROW)
+    unnamed, text = ROW_KEY[1], ROW_KEY[2]
+    rows = row_keys(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
+    # texts are told apart by their hash; equal ones are of one group
+    groups = jaccard_groups(rows.select(text, "text"), text, "text").select(F.col("doc_id").alias(text), "component_id").distinct()
+    members = materialize(rows.groupBy(*ROW_KEY).agg(F.count("*").alias("k")), "keys")
+    sized = materialize(groups.join(members.groupBy(text).agg(F.count("*").alias("n")), text), "groups")
+    found = materialize(join_sized(members, sized, [text], "n"), "members")
+    own = F.struct(unnamed, *(c for c in ROW_KEY if c != unnamed))
+    stay = found.groupBy("component_id").agg(F.min(own).alias("own"), F.count("*").alias("m"), F.min_by("k", own).alias("k"))
+    # a text without words is linked with nothing, so its rows all stay
+    bare = signatures_of_nothing(rows.select(text, "text"), text)
+    stay = materialize(stay.join(bare, F.col("component_id") == F.col(text), "left_anti").select("component_id", "own.*", "m", "k"), "stay")
+    several = stay.filter("m > 1").select("component_id", F.col("m").alias("size"))
+    gone = join_sized(found.select(*ROW_KEY, "component_id"), materialize(several, "several"), ["component_id"], "size").select(*ROW_KEY).join(stay, ROW_KEY, "left_anti")
+    return without_rows(docs, gone, stay.filter("k > 1"), id_col, text_col)
+
+
+def signatures_of_nothing(texts: DataFrame, key: str) -> DataFrame:
+    """The keys of texts without any word."""
+    return texts.filter(~F.coalesce("text", F.lit("")).rlike(r"[^ \t-\r]")).select(key).distinct()
