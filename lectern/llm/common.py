@@ -18,10 +18,11 @@ HOT_SHARE = 1000
 #: A table of a few numbers a row is broadcast up to so many rows (about 20 MB as a hash map), a longer one is joined by shuffle.
 BROADCAST_ROWS = 1 << 18
 #: Blocks from this size on are mapped by themselves, so that a worker gives them back when they are free.
-MAPPED_BYTES = 1 << 20
+MAPPED_BYTES = 4 << 20
 _M_MMAP_THRESHOLD = -3
-#: The column of row numbers.
+#: The column of row numbers, and those that tell rows apart by identifier and text.
 ROW = "lectern_row"
+ROW_KEY = ["lectern_id", "lectern_unnamed", "lectern_text0", "lectern_text1"]
 
 
 def prepare(spark: SparkSession) -> None:
@@ -99,6 +100,48 @@ def numbered(docs: DataFrame) -> DataFrame:
     return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
+def row_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with ROW_KEY: rows equal in it have the same identifier and text, and any of them stands for all."""
+    identifier, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keys = (F.coalesce(identifier, F.lit(0)), identifier.isNull(), F.xxhash64(text), F.xxhash64(F.lit("second"), text))
+    return docs.select("*", *(k.alias(name) for k, name in zip(keys, ROW_KEY, strict=True)))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, repeated: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose key is not in ``gone``; of rows with a key in ``repeated`` one stays.
+
+    Both are tables of ROW_KEY. Texts are written nowhere, and shuffled only where ``gone`` is long,
+    or for the repeated rows themselves.
+    """
+
+    def held(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if is_small(table) else table
+
+    gone, repeated = materialize(gone.select(*ROW_KEY), "gone"), materialize(repeated.select(*ROW_KEY).distinct(), "repeated")
+    out = row_keys(docs, id_col, text_col).join(held(gone), ROW_KEY, "left_anti")
+    if not repeated.isEmpty():
+        once = out.join(held(repeated), ROW_KEY, "left_semi").dropDuplicates(ROW_KEY)
+        out = out.join(held(repeated), ROW_KEY, "left_anti").unionByName(once)
+    return out.drop(*ROW_KEY)
+
+
+def filtered(docs: DataFrame, text_col: str, keep: Callable[[], Callable[[pa.Array], list[bool]]], rows: int = 1, size: int = 0) -> DataFrame:
+    """The rows of ``docs`` that stay, with all columns, in one pass.
+
+    ``keep`` is called once for each task and gives a function from texts to flags; it gets batches of
+    ``rows`` rows or ``size`` bytes, or more.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = keep()
+        for table in batches_of(it, rows, size or 1):
+            mask = pa.array(flags(table.column(at).combine_chunks()), pa.bool_())
+            yield from table.filter(mask).to_batches()
+
+    return docs.mapInArrow(tidy(run), docs.schema)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import ROW, batches_of, blobs, materialize, numbered, prepare, tidy, without_ids
+from lectern.llm.common import ROW, batches_of, blobs, filtered, materialize, numbered, prepare, tidy, without_ids
 from lectern.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -204,8 +204,21 @@ def judge(spans: DataFrame) -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns; each row is judged by itself.
+
+    A benchmark of one part is searched for and judged in one pass; a larger one needs the rows numbered.
+    """
+    prepare(docs.sparkSession)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).filter("item IS NOT NULL AND text IS NOT NULL")
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= BENCHMARK_BYTES:
+        shared = docs.sparkSession.sparkContext.broadcast(Phrases([(r["item"], r["text"].encode()) for r in items.collect()], window))
+
+        def clean(texts: pa.Array) -> list[bool]:
+            hits = ((n, sum(ends) - sum(starts)) for n, starts, ends, _ in scan_shard(blobs(texts), shared.value))
+            return [hit == 0 or 20 * hit < n for n, hit in hits]
+
+        return filtered(docs, "text", lambda: clean, SHARD_ROWS, SHARD_BYTES)
     rows = numbered(docs)
     found = judge(removal_spans(rows.select(F.col(ROW).alias("doc_id"), "text"), benchmark)).filter("contaminated")
     return without_ids(rows, found.select(F.col("doc_id").alias(ROW)), ROW).drop(ROW)

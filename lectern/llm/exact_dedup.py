@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import ROW, blobs, join_sized, materialize, numbered, prepare, shuffle_width, tidy, tidy_group, without_ids
+from lectern.llm.common import ROW_KEY, blobs, join_sized, materialize, prepare, row_keys, shuffle_width, tidy, tidy_group, without_rows
 
 #: Partners that meet in a round: 2 ** FAN_BITS.
 FAN_BITS = 3
@@ -36,9 +36,8 @@ def ascii_lower(text: bytes) -> bytes:
     return text.lower()
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """doc_id and the SHA-256 of the normalised text as four longs, with its length in bytes; ``row_col`` is carried along."""
-    more = [row_col] if row_col else []
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and the SHA-256 of the normalised text as four longs, with its length in bytes; columns of longs named in ``more`` are carried along."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -160,11 +159,17 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay, with all their columns: one for each distinct text.
 
     It is decided by row: one without identifier stays only where none of its text has one, and of
-    rows that repeat the winner's identifier the first stays.
+    rows that repeat the winner's identifier one stays.
     """
-    rows = numbered(docs)
-    digested = materialize(digests(rows, id_col, text_col, ROW), "digests")
+    number = [F.col(c).cast("long").alias(c) for c in ROW_KEY]
+    rows = row_keys(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id").select("id", "text", *number)
+    digested = materialize(digests(rows, "id", "text", tuple(ROW_KEY)), "digests")
     winners = materialize(tree_merge(digested, keep == "largest"), "winners")
-    copies = join_sized(digested, winners, KEY, "group_size").filter("group_size > 1")
-    stay = copies.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(*KEY).agg(F.min(ROW).alias(ROW))
-    return without_ids(rows, copies.select(ROW).join(stay.select(ROW), ROW, "left_anti"), ROW).drop(ROW)
+    copies = materialize(join_sized(digested, winners, KEY, "group_size").filter("group_size > 1"), "copies")
+    own = F.struct(*ROW_KEY)
+    stay = copies.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(*KEY).agg(F.min(own).alias("own"), F.count("*").alias("k"))
+    stay = materialize(stay.select("own.*", "k"), "stay")
+    flag = F.col(ROW_KEY[1]).cast("boolean").alias(ROW_KEY[1])
+    keys = [flag if c == ROW_KEY[1] else F.col(c) for c in ROW_KEY]
+    gone = copies.select(*ROW_KEY).distinct().join(stay, ROW_KEY, "left_anti").select(*keys)
+    return without_rows(docs, gone, stay.filter("k > 1").select(*keys), id_col, text_col)

@@ -14,7 +14,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import prepare, tidy
+from lectern.llm.common import filtered, prepare, tidy
 
 UNKNOWN = "und"
 #: Longer texts are compressed in segments of so many bytes, each with a fresh dictionary, so a margin means the same at any length.
@@ -114,6 +114,17 @@ def identify(
     return picked.mapInArrow(tidy(run), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
+def drop_rejected(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", level: int = 6, min_margin: float = 0.002) -> DataFrame:
+    """The rows of ``docs`` whose language is told with some margin, with all their columns; each row is judged by itself."""
+    prepare(docs.sparkSession)
+
+    def keep():  # noqa: ANN202
+        judge = Compressors(dictionaries, level).judge
+        return lambda texts: [lang != UNKNOWN and score >= min_margin for lang, score in map(judge, texts.cast(pa.string()).to_pylist())]
+
+    return filtered(docs, text_col, keep)
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
     """Rows that may teach: crc32 of the identifier modulo 4 is not 2."""
     return docs.filter(~held_out())
