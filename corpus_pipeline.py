@@ -6,18 +6,15 @@ Each stage reads all that its predecessor kept. All but the last return the colu
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing
-from lectern.llm.common import ROW, materialize, numbered, without_ids
+from lectern.llm.common import materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with some margin stay; others, and those without letters, go."""
     learned = language_id.train_dictionaries(language_id.training_rows(docs))
-    rows = numbered(docs)
-    rejected = language_id.identify(rows, learned, ROW).filter("rejected").select(F.col("doc_id").alias(ROW))
-    return without_ids(rows, rejected, ROW).drop(ROW)
+    return language_id.drop_rejected(docs, learned)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
