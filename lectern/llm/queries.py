@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing, quality, secrets, substring_dedup, token_output, url_filter
+from lectern.llm import conversation_repair, decontaminate, exact_dedup, jaccard_join, language_id, packing, quality, secrets, substring_dedup, token_output, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -183,6 +183,56 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+#: The remainder of CRC-32 is folded bit by bit; the lattice is walked a turn at a time with the best way to each state.
+OP13_SQL = r"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), coded AS (
+  SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(k, ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) % 20 AS code FROM raw
+), hurt AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+  FROM coded, unnest(range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS t(copy)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, rtrim(text, E' \t\n\x0B\f\r') AS bare FROM hurt
+), marked AS (
+  SELECT conv_id, turn, i, role, text, left(role, 1) AS initial,
+         CASE WHEN bare = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+  FROM placed
+), counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY conv_id
+), convs AS (
+  SELECT o.conv_id, coalesce(n, 0) AS n, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal
+  FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+), puts(s, t, c, a, l) AS (
+  VALUES ('e', 'e', 0, '', CAST([] AS VARCHAR[])), ('e', 'u', 2, 'I', ['user:']), ('e', 'a', 4, 'II', ['user:', 'assistant:']), ('s', 's', 0, '', []), ('s', 'u', 2, 'I', ['user:']), ('s', 'a', 4, 'II', ['user:', 'assistant:']),
+         ('u', 'u', 0, '', []), ('u', 'a', 2, 'I', ['assistant:']), ('a', 'a', 0, '', []), ('a', 'u', 2, 'I', ['user:'])
+), steps(t, z, forced) AS (VALUES ('e', 's', ''), ('e', 'u', 'user'), ('s', 'u', 'user'), ('u', 'a', 'assistant'), ('a', 'u', 'user')
+), ways AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, 'e' AS s, {'cost': CAST(0 AS BIGINT), 'audit': '', 'lines': CAST([] AS VARCHAR[])} AS w FROM convs
+  UNION ALL
+  SELECT conv_id, i, z, min(w) FROM (
+    SELECT y.conv_id, m.i, CASE WHEN e = 'D' THEN p.t ELSE z END AS z,
+           {'cost': w.cost + c + CASE e WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN e <> 'D' AND fault = 't' THEN 1 ELSE 0 END, 'audit': w.audit || a || e,
+            'lines': w.lines || l || CASE e WHEN 'D' THEN CAST([] AS VARCHAR[]) WHEN 'K' THEN [role || ':' || text] ELSE [forced || ':' || text] END} AS w
+    FROM ways y JOIN marked m ON y.conv_id IS NOT DISTINCT FROM m.conv_id AND m.i = y.i + 1 JOIN puts p ON p.s = y.s JOIN steps ON steps.t = p.t, unnest(['K', 'R', 'D']) AS edits(e)
+    WHERE e = 'D' OR fault NOT IN ('b', 'd') AND (e = 'K' AND initial = z OR e = 'R' AND forced <> '')
+  ) GROUP BY conv_id, i, z
+), final AS (
+  SELECT y.conv_id, min({'cost': w.cost + c, 'audit': w.audit || a, 'lines': w.lines || l}) AS w
+  FROM ways y JOIN convs v ON y.conv_id IS NOT DISTINCT FROM v.conv_id AND y.i = v.n JOIN puts p ON p.s = y.s WHERE p.t IN ('e', 'a') GROUP BY y.conv_id
+)
+SELECT v.conv_id, gaps, blank, duplicate, truncated, illegal, CAST(w.cost AS BIGINT) AS cost, w.audit AS audit, sha256(array_to_string(w.lines, E'\n')) AS repaired_sha256
+FROM convs v JOIN final f ON v.conv_id IS NOT DISTINCT FROM f.conv_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
@@ -194,6 +244,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality": op10_quality,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -202,4 +253,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_ngram_jaccard": OP5_SQL,
     "op4_url_filters": OP4_SQL,
     "op6_suffix_array_dedup": OP6_SQL,
+    "op13_conversation_repair": OP13_SQL,
 }
