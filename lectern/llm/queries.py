@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import conversation_repair, decontaminate, exact_dedup, jaccard_join, language_id, lexical_search, packing, quality, secrets, substring_dedup, token_output, url_filter
+from lectern.llm import conversation_repair, decontaminate, exact_dedup, jaccard_join, language_id, lexical_search, neighbours, packing, quality, secrets, substring_dedup, token_output, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -183,6 +183,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -266,6 +270,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality": op10_quality,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
     "op12_lexical_search": op12_lexical_search,
     "op13_conversation_repair": op13_conversation_repair,
 }
