@@ -183,14 +183,23 @@ def preview(text: Column, limit: int = 90) -> Column:
     return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(head, F.lit("…")))
 
 
+#: Units of file sizes, each 1024 times the one before.
+UNITS = ("KB", "MB", "GB", "TB")
+
+
 def format_bytes(size: Column) -> Column:
-    mb, gb = 1 << 20, 1 << 30
-    return (
-        F.when(size < 1024, F.format_string("%d B", size))
-        .when(size < mb, F.format_string("%.1f KB", size / 1024))
-        .when(size < gb, F.format_string("%.1f MB", size / mb))
-        .otherwise(F.format_string("%.1f GB", size / gb))
-    )
+    """Bytes, or the largest unit of which there is one, with a decimal below ten, halves rounded up; a dash for null.
+
+    Counted in whole tenths, so that no binary fraction decides a half.
+    """
+    out = F.when(size.isNull(), "—").when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
+    for k, unit in enumerate(UNITS, 1):
+        one = 1 << 10 * k
+        tenths, whole = (F.floor((size.cast("decimal(38,0)") * (2 * f) + one) / (2 * one)) for f in (10, 1))
+        decimal = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+        text = F.concat(F.when(size < 10 * one, decimal).otherwise(whole.cast("string")), F.lit(f" {unit}"))
+        out = out.otherwise(text) if k == len(UNITS) else out.when(size < one << 10, text)
+    return out
 
 
 def file_status(exists: Column, has_document: Column, fresh: Column) -> Column:

@@ -61,11 +61,16 @@ def label_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", T.is_label_artifact(label).alias("artifact"), T.escape_bibtex(label).alias("bibtex"), T.topic_id(F.col("hashes")).alias("topic"), F.array_join(T.stem_candidates(label), ",").alias("stems"))
 
 
-SIZE = "CASE doc_id % 5 WHEN 0 THEN n_chars WHEN 1 THEN n_chars * 1000 WHEN 2 THEN n_chars * 100000 WHEN 3 THEN n_chars * 100000000 ELSE 1023 END"
+SIZE = "CASE doc_id % 6 WHEN 0 THEN n_chars WHEN 1 THEN n_chars * 1000 WHEN 2 THEN n_chars * 100000 WHEN 3 THEN n_chars * 100000000 WHEN 4 THEN NULL ELSE 1023 END"
 
 
-@query(f"""WITH s AS (SELECT doc_id, {SIZE} AS n, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS flat FROM documents)
-SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576) ELSE printf('%.1f GB', n / 1073741824) END AS size,
+def unit_sql(k: int, unit: str) -> str:
+    one = 1 << 10 * k
+    return f"WHEN n < {one << 10 if k < len(T.UNITS) else 1 << 62} THEN CASE WHEN n < {10 * one} THEN (n * 20 + {one}) // {2 * one} // 10 || '.' || (n * 20 + {one}) // {2 * one} % 10 ELSE CAST((n * 2 + {one}) // {2 * one} AS VARCHAR) END || ' {unit}'"
+
+
+@query(f"""WITH s AS (SELECT doc_id, CAST({SIZE} AS BIGINT) AS n, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS flat FROM documents)
+SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' {' '.join(unit_sql(k, u) for k, u in enumerate(T.UNITS, 1))} ELSE '—' END AS size,
   CASE WHEN length(flat) <= 90 THEN flat ELSE regexp_replace(substr(flat, 1, 91), '\\s+\\S*$', '') || '…' END AS preview FROM s""")
 def display_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
