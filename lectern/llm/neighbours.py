@@ -4,7 +4,9 @@ A vector of norm r is lifted to the unit sphere, with sqrt(1 - (r / M)^2) as a f
 being the largest norm of its band; the nearest by inner product is then the nearest by distance. An
 index holds, for each of N_LINES random lines, the vectors' projections as one sorted array. A query
 puts a window around its own projection on each line; virtual rehashing widens the windows with the
-radius R. A vector that lies in the windows of THRESHOLD lines or more is verified: its exact inner
+radius R, from the distance of the nearest of a sample on. Windows are counted by
+whole strides of the arrays, whose members are kept as running sums, and by the entries at either
+end. A vector that lies in the windows of THRESHOLD lines or more is verified: its exact inner
 product is taken. The search ends when the TOP-th best verified vector is no farther than R, since
 each vector within R reaches the threshold with probability 1 - MISS or more. At R = 2, the sphere's
 diameter, all that is left is verified, so there is no bound on candidates.
@@ -35,8 +37,12 @@ from lectern.llm.common import join_sized, materialize, prepare, release
 TOP = 20
 QUERY_STEP = 20
 SHARD_ROWS, QUERY_BLOCK = 16_384, 2048
-#: Lines, width of a window in radii, share of near vectors that a search may miss, first radius and its growth.
-N_LINES, WIDTH, MISS, FIRST_RADIUS, GROWTH = 128, 2.0, 0.05, 0.25, 1.1
+#: Lines, width of a window in radii, share of near vectors that a search may miss, growth of the radius.
+N_LINES, WIDTH, MISS, GROWTH = 128, 2.0, 0.05, 1.1
+#: The first radius is this multiple of the distance of the nearest of so many vectors, and not below the least radius.
+FIRST, SAMPLE, LEAST_RADIUS = 1.0, 256, 0.05
+#: Entries of an array that are counted at once.
+STRIDE = 512
 #: Vectors of one band have norms of at least this share of its largest.
 BAND = 0.8
 SEED = 11
@@ -68,13 +74,36 @@ class Band:
         projected = (lifted @ lines(lifted.shape[1])).T
         self.order = np.argsort(projected, axis=1, kind="stable")
         self.sorted = np.take_along_axis(projected, self.order, axis=1)
+        rank = np.empty(self.order.shape, np.int32)
+        np.put_along_axis(rank, self.order, np.arange(len(rows), dtype=np.int32)[None, :], axis=1)
+        strides = np.arange(len(rows) // STRIDE + 1, dtype=np.int32) * STRIDE
+        #: For each line and stride, which vectors stand before it.
+        self.before = (rank[:, None, :] < strides[None, :, None]).astype(np.uint8)
 
-    def windows(self, queries: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, queries: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each query's window begins and ends in each array; ``queries`` are projections, a row for each line."""
         low = np.array([np.searchsorted(s, q - half, "left") for s, q in zip(self.sorted, queries, strict=True)])
         high = np.array([np.searchsorted(s, q + half, "right") for s, q in zip(self.sorted, queries, strict=True)])
         return low, high
 
+    def collisions(self, counts: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """Add to ``counts``, for each vector, the windows (``low``, ``high``: one for each line) that it lies in."""
+        ends = []
+        first, last = -(-low // STRIDE), high // STRIDE
+        for order, before, a, b, x, y in zip(self.order, self.before, low.tolist(), high.tolist(), first.tolist(), last.tolist(), strict=True):
+            if x < y:
+                counts += before[y]  # counts wrap around, as there are at most 255 lines, and are right in the end
+                counts -= before[x]
+                ends += (order[a : x * STRIDE], order[y * STRIDE : b])
+            else:
+                ends.append(order[a:b])
+        counts += np.bincount(np.concatenate(ends), minlength=len(counts)).astype(np.uint8)
+
+    def widened(self, counts: np.ndarray, low: np.ndarray, high: np.ndarray, to_low: np.ndarray, to_high: np.ndarray) -> None:
+        """Add what windows gain that grow from (``low``, ``high``) to (``to_low``, ``to_high``)."""
+        new = [piece for o, a, b, x, y in zip(self.order, to_low.tolist(), low.tolist(), high.tolist(), to_high.tolist(), strict=True) for piece in (o[a:b], o[x:y])]
+        counts += np.bincount(np.concatenate(new), minlength=len(counts)).astype(np.uint8)
+
 
 class Answer:
     """The best rows that a query has met."""
@@ -88,8 +117,11 @@ class Answer:
         return float(self.scores[-1]) if len(self.scores) > TOP else -math.inf
 
     def verify(self, band: Band, found: np.ndarray, firsts: np.ndarray) -> None:
-        scores = np.concatenate([self.scores, band.vectors[found] @ self.query])
-        rows = np.concatenate([self.rows, band.rows[found]])
+        scores = np.take(band.vectors, found, axis=0) @ self.query
+        least = max(self.worst(), np.partition(scores, -TOP - 1)[-TOP - 1] if len(scores) > TOP else -math.inf)
+        kept = np.flatnonzero(scores >= least)
+        scores = np.concatenate([self.scores, scores[kept]])
+        rows = np.concatenate([self.rows, band.rows[found[kept]]])
         best = np.lexsort((firsts[rows], -scores))[: TOP + 1]
         self.rows, self.scores = rows[best], scores[best]
 
@@ -102,30 +134,31 @@ def search_band(band: Band, answers: list[Answer], firsts: np.ndarray) -> None:
         return
     unit = np.array([np.append(answers[k].query / answers[k].norm, 0.0) for k in active])
     projected = np.ascontiguousarray((unit @ lines(unit.shape[1])).T)
-    counts = np.zeros((len(active), n), np.uint8)
-    seen = np.zeros((len(active), n), bool)
-    low = high = np.array([np.searchsorted(s, q) for s, q in zip(band.sorted, projected, strict=True)])
-    going, radius = np.arange(len(active)), FIRST_RADIUS
+    sample = band.vectors[:: max(1, n // SAMPLE)] / limit
+    highest = (unit[:, :-1] @ sample.T).max(axis=1)
+    radius = np.maximum(LEAST_RADIUS, FIRST * np.sqrt(np.maximum(0, 2 - 2 * highest)))
+    counts, seen, going = np.zeros((len(active), n), np.uint8), np.zeros((len(active), n), bool), np.arange(len(active))
+    low = high = None
     while len(going):
-        to_low, to_high = band.windows(projected[:, going], WIDTH * radius / 2)
+        to_low, to_high = band.windows(projected[:, going], WIDTH * radius[going] / 2)
+        left, places = [], []
         for c, k in enumerate(going.tolist()):
-            if radius >= 2:
-                found = np.flatnonzero(~seen[k])
-            else:
-                new = [piece for o, a, b, x, y in zip(band.order, to_low[:, c].tolist(), low[:, k].tolist(), high[:, k].tolist(), to_high[:, c].tolist(), strict=True) for piece in (o[a:b], o[x:y])]
-                counts[k] += np.bincount(np.concatenate(new), minlength=n).astype(np.uint8)
-                found = np.flatnonzero((counts[k] >= least) & ~seen[k])
+            answer = answers[active[k]]
+            whole = radius[k] >= 2
+            if not whole and low is None:
+                band.collisions(counts[k], to_low[:, c], to_high[:, c])
+            elif not whole:
+                band.widened(counts[k], low[:, c], high[:, c], to_low[:, c], to_high[:, c])
+            found = np.flatnonzero(~seen[k] if whole else (counts[k] >= least) & ~seen[k])
             if len(found):
                 seen[k, found] = True
-                answers[active[k]].verify(band, found, firsts)
-        if radius >= 2:
-            return
-        low, high = low.copy(), high.copy()
-        low[:, going], high[:, going] = to_low, to_high
-        # the nearest TOP + 1 are within the radius when the worst of them is
-        near = 1 - radius * radius / 2
-        going = np.array([k for k in going.tolist() if not answers[active[k]].worst() >= near * answers[active[k]].norm * limit], np.int64)
-        radius = min(2.0, radius * GROWTH)
+                answer.verify(band, found, firsts)
+            # the nearest TOP + 1 are within the radius when the worst of them is
+            if not whole and not answer.worst() >= (1 - radius[k] * radius[k] / 2) * answer.norm * limit:
+                left.append(k)
+                places.append(c)
+        going, low, high = np.array(left, np.int64), to_low[:, places], to_high[:, places]
+        radius[going] = np.minimum(2.0, radius[going] * GROWTH)
 
 
 def nearest(vectors: np.ndarray, firsts: np.ndarray, queries: np.ndarray) -> list[Answer]:
