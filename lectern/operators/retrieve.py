@@ -31,22 +31,6 @@ def dense_rank(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return out
 
 
-def near_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """a, b, score: all pairs of a stated list (id, embedding) with a rounded cosine of ``threshold`` or more, a < b.
-
-    The list goes out in blocks of QUERY_BLOCK and meets all of itself; what is kept are the near pairs.
-    """
-    total = vectors.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    out = None
-    for k in range(blocks):
-        own = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).select(F.col("id").alias("a"), F.col("embedding").alias("e"))
-        met = vectors.select(F.col("id").alias("b"), "embedding").join(F.broadcast(own), F.col("a") < F.col("b"))
-        scored = met.select("a", "b", F.round(cosine(F.col("e"), F.col("embedding")), 5).alias("score")).filter(F.col("score") >= threshold)
-        out = scored if out is None else out.unionByName(scored)
-    return out
-
-
 def fuse(arms: list[tuple[DataFrame, float]], k: int) -> DataFrame:
     """query, doc, score, rank: weighted reciprocal rank fusion of ranked arms."""
     parts = [arm.select("query", "doc", (F.lit(weight) / (RRF_C + F.col("rank"))).alias("part")) for arm, weight in arms]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators import concepts, retrieve
+from lectern.operators import concepts, vector_index
 from lectern.operators.scratch import materialize
 from lectern.plans.registry import query, table
 from lectern.plans.search import FOLD
@@ -272,9 +272,8 @@ def graph_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concepts.graph_version(concepts.cooccurrence_edges(presence(spark, sf_dir), 2), "seed=42")
 
 
-@query("""WITH v AS (SELECT vec_id AS id, 'name-' || vec_id % 40 AS name, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 200)
+@query("""WITH v AS (SELECT vec_id AS id, 'name-' || vec_id % 40 AS name, embedding::DOUBLE[] AS e FROM embeddings)
 SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 5) AS score FROM v a JOIN v b ON a.id < b.id AND round(list_cosine_similarity(a.e, b.e), 5) >= 0.3""")
 def nearest_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs at a cosine of 0.3 or more among a stated list of 200 names' vectors."""
-    own = table(spark, sf_dir, "embeddings").filter("vec_id < 200").select(F.col("vec_id").alias("id"), "embedding")
-    return retrieve.near_pairs(own, 0.3)
+    """All pairs of vectors at a cosine of 0.3 or more."""
+    return vector_index.near_pairs(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 0.3)
