@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions import references as R
 from lectern.functions.text import escape_bibtex
+from lectern.operators import fuzzy
+from lectern.operators.scratch import join_sized, materialize
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -27,27 +29,34 @@ def extraction_notes(docs: DataFrame, found: DataFrame, id_col: str = "doc_id",
     return out.select("doc", F.coalesce("has_section", F.lit(False)).alias("has_section"), "n", (F.coalesce("has_section", F.lit(False)) & (F.col("n") < few)).alias("needs_more"))
 
 
-def resolve(references: DataFrame, library: DataFrame) -> DataFrame:
+def resolve(references: DataFrame, library: DataFrame, ratio: float | None = None) -> DataFrame:
     """doc, place, target, how: the document that a reference names, by doi, then first surname and year, then title.
 
-    ``library`` has doc_id, doi, authors, year, title and only documents that may be named. Each rule is
-    an equi-join on a key with one row, the smallest identifier; null keys match nothing.
+    ``library`` has doc_id, doi, authors, year, title and only documents that may be named. Each rule
+    looks only at the references that are still open and have its key, so null keys meet nowhere; a key
+    leads to one document, the smallest identifier, and hot keys are joined by broadcast. Titles have
+    to be equal when normalised; with ``ratio``, the most alike title from that ratio on is taken.
     """
     named = library.withColumn("surname", R.first_surname(F.col("authors")))
-    keys = {
-        "doi": [F.lower(F.trim("doi"))],
-        "author_year": [F.col("surname"), F.col("year")],
-        "title": [F.when(F.length("title") >= 10, F.nullif(R.normalize_name(F.col("title")), F.lit("")))],
-    }
-    out = references.withColumn("surname", R.first_surname(F.col("authors")))
-    for name, columns in keys.items():
-        on = [f"{name}_{k}" for k in range(len(columns))]
-        known = named.select(*(c.alias(k) for c, k in zip(columns, on, strict=True)), "doc_id").na.drop().groupBy(*on).agg(F.min("doc_id").alias(f"to_{name}"))
-        for c, k in zip(columns, on, strict=True):
-            out = out.withColumn(k, c)
-        out = out.join(known, on, "left").drop(*on)
-    how = F.when(F.col("to_doi").isNotNull(), "doi").when(F.col("to_author_year").isNotNull(), "author_year").when(F.col("to_title").isNotNull(), "title")
-    return out.select("doc", "place", F.coalesce("to_doi", "to_author_year", "to_title").alias("target"), how.alias("how"))
+    title = F.when(F.length("title") >= 10, F.nullif(R.normalize_name(F.col("title")), F.lit("")))
+    rules = {"doi": [F.lower(F.trim("doi"))], "author_year": [F.col("surname"), F.col("year")], "title": [title]}
+    left = materialize(references.select("doc", "place", "doi", "year", "title", R.first_surname(F.col("authors")).alias("surname")), "open")
+    found = None
+    for how, columns in rules.items():
+        on = [f"key{k}" for k in range(len(columns))]
+        keyed, known = (t.select(*others, *(c.alias(k) for c, k in zip(columns, on, strict=True))).na.drop(subset=on) for t, others in ((left, ["doc", "place"]), (named, ["doc_id"])))
+        keys = keyed.groupBy(*on).agg(F.count("*").alias("_n"))
+        to = keys.join(known.groupBy(*on).agg(F.min("doc_id").alias("target")), on)
+        if how == "title" and ratio is not None:
+            whole = library.select("doc_id", R.normalize_name(F.col("title")).alias("title"))
+            best = fuzzy.best_match(keys.select(F.col("key0").alias("title")), whole, ratio)
+            to = keys.join(best.select(F.col("title").alias("key0"), "target"), "key0")
+        hits = materialize(join_sized(keyed, materialize(to, "targets"), on, "_n").select("doc", "place", "target", F.lit(how).alias("how")), "resolved")
+        found = hits if found is None else found.unionByName(hits)
+        left = left.join(hits.select("doc", "place"), ["doc", "place"], "left_anti")
+        if how != "title":
+            left = materialize(left, "open")
+    return found.unionByName(left.select("doc", "place"), allowMissingColumns=True)
 
 
 def credible(references: DataFrame, resolved: DataFrame, library: DataFrame) -> DataFrame:

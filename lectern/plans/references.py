@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import references as R
-from lectern.operators import references
+from lectern.operators import fuzzy, references
 from lectern.operators.scratch import materialize
 from lectern.plans.library import LIB, lib
 from lectern.plans.registry import query, table
@@ -88,6 +88,12 @@ def resolve_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved(spark, sf_dir)[1]
 
 
+@query()
+def fuzzy_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References by the rules, the last of which takes titles that are alike; the tests compare all pairs."""
+    return references.resolve(found(spark, sf_dir), known(spark, sf_dir), fuzzy.RATIO)
+
+
 @query(f"WITH {RESOLVED_SQL} SELECT doc, place, target, how IN ('doi', 'title') AS credible FROM resolved WHERE target IS NOT NULL")
 def credible_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.credible(*resolved(spark, sf_dir))
