@@ -59,3 +59,28 @@ def index_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, before = store.fill(docs.filter("doc_id % 3 = 0"), where), store.is_current(docs, where)
     row = (first, store.fill(docs, where), store.fill(docs, where), before, store.is_current(docs, where))
     return spark.createDataFrame([row], "first long, second long, third long, current_before boolean, current_after boolean")
+
+
+LEFT_SQL = bm25_sql(10).replace("FROM documents", "FROM (SELECT * FROM documents WHERE doc_id % 7 <> 1)")
+
+
+@query(LEFT_SQL)
+def bm25_after_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of which every seventh document is deleted, and one of these filled in and deleted again, ranks what is left; compaction changes nothing."""
+    where, docs = scratch_path(spark, "index"), table(spark, sf_dir, "documents")
+    gone = docs.filter("doc_id % 7 = 1")
+    store.fill(docs.filter("doc_id % 3 = 0"), where)
+    store.delete(spark, where, gone.select(F.col("doc_id").alias("doc")))
+    store.fill(docs, where)
+    store.delete(spark, where, gone.select(F.col("doc_id").alias("doc")))
+    store.compact(spark, where)
+    return store.search(spark, where, table(spark, sf_dir, "benchmark"), 10)
+
+
+@query("""SELECT count(*) FILTER (doc_id % 3 = 0) AS filled, count(*) FILTER (doc_id % 3 = 0 AND doc_id % 7 = 1) AS deleted, 0 AS deleted_again, count(*) FILTER (doc_id % 3 <> 0 OR doc_id % 7 = 1) AS refilled, 2 AS compacted, 1 AS segments, TRUE AS current FROM documents""")
+def index_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where, docs = scratch_path(spark, "index"), table(spark, sf_dir, "documents")
+    gone = docs.filter("doc_id % 7 = 1").select(F.col("doc_id").alias("doc"))
+    row = [store.fill(docs.filter("doc_id % 3 = 0"), where), store.delete(spark, where, gone), store.delete(spark, where, gone), store.fill(docs, where), store.compact(spark, where)]
+    row += [len(store.manifest(spark, where)), store.is_current(docs, where)]
+    return spark.createDataFrame([tuple(row)], "filled long, deleted long, deleted_again long, refilled long, compacted long, segments long, current boolean")
