@@ -43,3 +43,12 @@ def join_sized(left: DataFrame, right: DataFrame, keys: list[str], size: str) ->
     hot = F.broadcast(right.filter(F.col(size) > bound))
     cold = right.filter(F.col(size) <= bound)
     return left.join(hot, keys).unionByName(left.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+
+
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """``table`` by a hash of ``key`` where its scan has fewer partitions than the session has cores, as one small file has; a large one as it is.
+
+    Work on whole texts is worth the shuffle of one file, and no more.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, key)

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from lectern.operators import chunking, store
 from lectern.operators.scratch import materialize, scratch_path
-from lectern.plans.registry import query, table
+from lectern.plans.registry import query, table, texts
 from lectern.plans.search import bm25_sql
 
 
 def children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(chunking.parent_child(table(spark, sf_dir, "documents")), "children")
+    return materialize(chunking.parent_child(texts(spark, sf_dir)), "children")
 
 
 @query()
@@ -27,7 +27,7 @@ def chunk_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chunk_baseline_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.health_signals(chunking.baseline(table(spark, sf_dir, "documents")))
+    return chunking.health_signals(chunking.baseline(texts(spark, sf_dir)))
 
 
 @query()
@@ -47,7 +47,7 @@ def figure_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(bm25_sql(10))
 def bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index filled in two steps, the second of which overlaps the first, ranks as one."""
-    where, docs = scratch_path(spark, "index"), table(spark, sf_dir, "documents")
+    where, docs = scratch_path(spark, "index"), texts(spark, sf_dir)
     store.fill(docs.filter("doc_id % 3 = 0"), where)
     store.fill(docs, where)
     return store.search(spark, where, table(spark, sf_dir, "benchmark"), 10)
@@ -55,7 +55,7 @@ def bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) FILTER (doc_id % 3 = 0) AS first, count(*) FILTER (doc_id % 3 <> 0) AS second, 0 AS third, FALSE AS current_before, TRUE AS current_after FROM documents")
 def index_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    where, docs = scratch_path(spark, "index"), table(spark, sf_dir, "documents")
+    where, docs = scratch_path(spark, "index"), texts(spark, sf_dir)
     first, before = store.fill(docs.filter("doc_id % 3 = 0"), where), store.is_current(docs, where)
     row = (first, store.fill(docs, where), store.fill(docs, where), before, store.is_current(docs, where))
     return spark.createDataFrame([row], "first long, second long, third long, current_before boolean, current_after boolean")
@@ -67,7 +67,7 @@ LEFT_SQL = bm25_sql(10).replace("FROM documents", "FROM (SELECT * FROM documents
 @query(LEFT_SQL)
 def bm25_after_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index of which every seventh document is deleted, and one of these filled in and deleted again, ranks what is left; compaction changes nothing."""
-    where, docs = scratch_path(spark, "index"), table(spark, sf_dir, "documents")
+    where, docs = scratch_path(spark, "index"), texts(spark, sf_dir)
     gone = docs.filter("doc_id % 7 = 1")
     store.fill(docs.filter("doc_id % 3 = 0"), where)
     store.delete(spark, where, gone.select(F.col("doc_id").alias("doc")))
@@ -79,7 +79,7 @@ def bm25_after_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT count(*) FILTER (doc_id % 3 = 0) AS filled, count(*) FILTER (doc_id % 3 = 0 AND doc_id % 7 = 1) AS deleted, 0 AS deleted_again, count(*) FILTER (doc_id % 3 <> 0 OR doc_id % 7 = 1) AS refilled, 2 AS compacted, 1 AS segments, TRUE AS current FROM documents""")
 def index_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    where, docs = scratch_path(spark, "index"), table(spark, sf_dir, "documents")
+    where, docs = scratch_path(spark, "index"), texts(spark, sf_dir)
     gone = docs.filter("doc_id % 7 = 1").select(F.col("doc_id").alias("doc"))
     row = [store.fill(docs.filter("doc_id % 3 = 0"), where), store.delete(spark, where, gone), store.delete(spark, where, gone), store.fill(docs, where), store.compact(spark, where)]
     row += [len(store.manifest(spark, where)), store.is_current(docs, where)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import concepts, vector_index
 from lectern.operators.scratch import materialize
-from lectern.plans.registry import query, table
+from lectern.plans.registry import query, table, texts
 from lectern.plans.search import FOLD
 
 # The stated vocabulary of the queries: number, label, aliases, documents.
@@ -24,7 +24,7 @@ def vocabulary(spark: SparkSession) -> DataFrame:
 
 
 def presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    lines = texts(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("i", "text"))
     passages = lines.select(F.concat("doc", F.lit(":p"), "i").alias("passage"), "doc", "text")
     return materialize(concepts.match_presence(vocabulary(spark), passages), "presence")
 

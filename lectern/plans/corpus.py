@@ -10,7 +10,7 @@ from lectern.functions.text import cited_numbers, doc_hash, edit_similarity, hea
 from lectern.functions.vectors import normalized
 from lectern.operators import evaluation, graph, index, keywords, library, retrieve
 from lectern.operators.scratch import materialize, scratch_path
-from lectern.plans.registry import query, table
+from lectern.plans.registry import query, table, texts
 from lectern.plans.search import STOPWORDS, TERMS_SQL, tokens_sql
 from lectern.streaming.ingest import ingest_available
 from lectern.streaming.ingest import library as taken
@@ -215,7 +215,7 @@ VOCABULARY_SQL = f"""{TERMS_SQL}, b AS (SELECT term, count(*) AS df, sum(tf) AS
 
 def presence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """term, doc, tf for the 40 best single words of the corpus band, a fixed vocabulary; words are counted once."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     counts = materialize(keywords.doc_term_counts(docs, STOPWORDS, ngram_max=1), "words")
     vocabulary = keywords.corpus_band(counts, docs.count(), 40).select("term")
     return counts.join(F.broadcast(vocabulary), "term").select("term", "doc", "tf")

@@ -9,7 +9,7 @@ from lectern.functions import references as R
 from lectern.operators import fuzzy, references
 from lectern.operators.scratch import materialize
 from lectern.plans.library import LIB, lib
-from lectern.plans.registry import query, table
+from lectern.plans.registry import query, table, texts
 
 # A paper for each document, in SQL that Spark and the oracle read alike.
 BODY = """CASE doc_id % 3 WHEN 0 THEN 'Ahead of all' || chr(10) || '- Bell, A. (' || (1950 + doc_id % 75) || 'a). Title of number ' || doc_id % 50 || ' here. _Journal_ 3.' || chr(10) || '[2] Dorn, C. Some longer work on topic ' || doc_id % 9 || '. *Venue*, 12-30, 2004.' || chr(10) || '3. Short' || chr(10) || '- No year in this one, which is kept for its doi 10.1234/ab.' || doc_id % 40 || ').'
@@ -34,7 +34,7 @@ PARSED_SQL = rf"""paper AS (SELECT doc_id AS doc, {PAPER} AS md FROM documents),
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.expr(PAPER).alias("text"))
+    return texts(spark, sf_dir).select("doc_id", F.expr(PAPER).alias("text"))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:

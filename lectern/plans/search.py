@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import TOKEN, TOKEN_PART, doc_hash
 from lectern.operators import index, keywords, retrieve
-from lectern.plans.registry import query, table
+from lectern.plans.registry import query, table, texts
 
 FOLD = "replace(lower(coalesce({0}, '')), 'ß', 'ss')"
 
@@ -48,12 +48,12 @@ tok AS (
 @query(f"WITH {SUB_SQL} SELECT doc AS doc_id, len(w) AS n_tokens, len(list_distinct(w)) AS n_distinct FROM sub")
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = index.subtokens(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.size(F.array_distinct(words)).cast("long").alias("n_distinct"))
+    return texts(spark, sf_dir).select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.size(F.array_distinct(words)).cast("long").alias("n_distinct"))
 
 
 @query(f"WITH {SUB_SQL}, e AS (SELECT doc, unnest(w) AS term FROM sub) SELECT term, count(*) AS tf, count(DISTINCT doc) AS df FROM e GROUP BY term")
 def df_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.term_stats(table(spark, sf_dir, "documents"), "text")
+    return index.term_stats(texts(spark, sf_dir), "text")
 
 
 BM25_SQL = f"""
@@ -82,12 +82,12 @@ def bm25_sql(k: int, scope: str = "") -> str:
 
 @query(bm25_sql(10))
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+    return index.bm25(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"), 10)
 
 
 @query(bm25_sql(10, "JOIN documents d ON d.doc_id = doc AND d.lang = 'en'"))
 def bm25_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10, scope=F.col("lang") == "en")
+    return index.bm25(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"), 10, scope=F.col("lang") == "en")
 
 
 DENSE_SQL = """
@@ -127,7 +127,7 @@ HYBRID_SQL = (
 
 @query(HYBRID_SQL + " SELECT query, doc, score, rank FROM best WHERE rank <= 10")
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sparse = index.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+    sparse = index.bm25(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"), 20)
     return retrieve.fuse([(sparse, 0.4), (dense_arm(spark, sf_dir, 20), 0.6)], 10)
 
 
@@ -203,7 +203,7 @@ def index_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT doc, term, tf, df, round((1 + ln(tf)) * (ln((n + 1) / (df + 1)) + 1), 6) AS score FROM counts JOIN d USING (term), n)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, term) AS rank FROM s) WHERE rank <= 15""")
 def tfidf_keywords_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return keywords.top_terms(keywords.tf_idf(keywords.doc_term_counts(docs, STOPWORDS), docs.count()))
 
 
@@ -218,7 +218,7 @@ GREEDY_SQL = """list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(r
 ), e AS (SELECT doc, unnest(taken) AS term, unnest(range(1, len(taken) + 1)) AS rank FROM g)
 SELECT e.doc, e.term, s.score, CAST(e.rank AS INT) AS rank FROM e JOIN s ON e.doc = s.doc AND e.term = s.term""")
 def tfidf_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return keywords.suppress_nested(keywords.tf_idf(keywords.doc_term_counts(docs, STOPWORDS), docs.count()))
 
 
@@ -226,7 +226,7 @@ def tfidf_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT term, df, tf, round(df * (1 + ln(tf)), 6) AS score FROM b
 WHERE df BETWEEN 2 AND (SELECT greatest(2, CAST(floor(0.7 * count(*)) AS BIGINT)) FROM documents) ORDER BY score DESC, term LIMIT 60""")
 def corpus_band_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return keywords.corpus_band(keywords.doc_term_counts(docs, STOPWORDS), docs.count())
 
 
@@ -242,7 +242,7 @@ CVALUE_SQL = (
 
 @query(CVALUE_SQL + " SELECT term, freq, cvalue FROM cv")
 def c_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keywords.c_value(keywords.term_counts(table(spark, sf_dir, "documents"), STOPWORDS))
+    return keywords.c_value(keywords.term_counts(texts(spark, sf_dir), STOPWORDS))
 
 
 @query(CVALUE_SQL + f""", z AS (
@@ -252,7 +252,7 @@ def c_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT term, round((1 + ln(freq)) * weirdness, 6) AS score FROM s WHERE weirdness > 0 ORDER BY score DESC, term LIMIT 15""")
 def contrastive_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Termhood of document terms against the words of conversations as reference."""
-    frequencies = keywords.term_counts(table(spark, sf_dir, "documents"), STOPWORDS)
+    frequencies = keywords.term_counts(texts(spark, sf_dir), STOPWORDS)
     words = table(spark, sf_dir, "conversations").select(F.explode(index.tokenize(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     total = words.agg(F.sum("n")).first()[0] or 1
     reference = words.select("token", F.round(F.log10(F.col("n") * 1e9 / total), 6).alias("zipf"))
