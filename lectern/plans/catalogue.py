@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.plans import answers, chunks, concepts, corpus, evaluation, library, markup, references, registry_queries, search, skeleton, taxonomy, texts, vectors, vocabulary
+from lectern.plans import answers, chunks, concepts, corpus, evaluation, ingest, library, markup, references, registry_queries, search, skeleton, taxonomy, texts, vectors, vocabulary
 from lectern.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "answers", "chunks", "concepts", "corpus", "evaluation", "library", "markup", "references", "registry_queries", "search", "skeleton", "taxonomy", "texts", "vectors", "vocabulary"]
+__all__ = ["ORACLE_SQL", "QUERIES", "answers", "chunks", "concepts", "corpus", "evaluation", "ingest", "library", "markup", "references", "registry_queries", "search", "skeleton", "taxonomy", "texts", "vectors", "vocabulary"]
