@@ -81,6 +81,64 @@ def strip_pipe_tables(markdown: Column) -> Column:
     return F.aggregate(pipe_runs(markdown), markdown, lambda text, run: F.replace(text, run, F.lit("")))
 
 
+# Page marks of a text, page delimiters of extracted tables, captions of tables, and the wrapper of a placed block.
+PAGE_MARK, PAGE_DELIMITER = r"<!--\s*page:(\d+)\s*-->", r"\n*\{?\d+\}?-{6,}\n*"
+TABLE_CAPTION = r"(?im)^[ \t]{0,3}(?:#{1,6}[ \t]*)?(?:\*+[ \t]*)?Table[ \t]+\d+\b"
+PLACED = r"(?s)\n*<!--\s*table:marker:page=\d+:begin\s*-->.*?<!--\s*table:marker:page=\d+:end\s*-->\n*"
+
+
+def paged_tables(markdown: Column, pages: Column) -> Column:
+    """page, markdown of each table of a paginated extraction; ``pages`` has the pages of its sections, the last also those of any beyond."""
+    sections = F.filter(F.split(markdown, PAGE_DELIMITER), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) != "")
+    page = lambda k: F.element_at(pages, F.least(k + 1, F.size(pages)))
+    return F.flatten(F.transform(sections, lambda s, k: F.transform(pipe_tables(s), lambda t: F.struct(page(k).cast("int").alias("page"), t.alias("markdown")))))
+
+
+def strip_placed(markdown: Column) -> Column:
+    return F.concat(F.regexp_replace(F.regexp_replace(markdown, PLACED, "\n\n"), r"\A\s+|\s+\z", ""), F.lit("\n"))
+
+
+def page_block(tables: Column, page: Column) -> Column:
+    """One wrapped block of all tables of a page."""
+    own = F.transform(F.filter(tables, lambda t: t["page"] == page), lambda t: t["markdown"])
+    mark = F.concat(F.lit("<!-- table:marker:page="), page.cast("string"))
+    return F.concat(mark, F.lit(":begin -->\n"), F.array_join(own, "\n\n"), F.lit("\n"), mark, F.lit(":end -->"))
+
+
+def at_caption(span: Column, block: Column) -> Column:
+    """``span`` with the block below the paragraph that begins with a table's caption, or at its end without one.
+
+    A caption and its block stay one paragraph.
+    """
+    to_gap = rf"(?s)\A(.*?{TABLE_CAPTION}.*?)(?:\n\n(.*))?\z"
+    upto, rest = (F.regexp_replace(F.regexp_extract(span, to_gap, k), r"\s+\z" if k == 1 else r"\A\s+|\s+\z", "") for k in (1, 2))
+    below = F.concat(upto, F.lit("\n"), block, F.when(rest != "", F.concat(F.lit("\n\n"), rest)).otherwise(""), F.lit("\n"))
+    return F.when(span.rlike(TABLE_CAPTION), below).otherwise(F.concat(F.regexp_replace(span, r"\s+\z", ""), F.lit("\n\n"), block, F.lit("\n")))
+
+
+def place_tables(markdown: Column, tables: Column) -> Column:
+    """The text with the ``tables`` (page, markdown) of each page at their caption, in place of the page's own pipe tables.
+
+    A page is what stands from its first mark to the next mark of any page. Pages without tables stay as
+    they are; tables of pages without mark come at the end, the last page first. Placing twice is placing once.
+    """
+    text = strip_placed(markdown)
+    pieces = F.split(text, f"(?={PAGE_MARK})")
+    marks = F.transform(pieces, lambda p: F.nullif(F.regexp_extract(p, rf"\A{PAGE_MARK}", 1), F.lit("")).cast("int"))
+    pages = F.array_distinct(F.transform(tables, lambda t: t["page"]))
+
+    def placed(piece: Column, k: Column) -> Column:
+        page = F.element_at(marks, k + 1)
+        first = F.array_position(marks, page) == k + 1
+        mark = F.regexp_extract(piece, rf"\A{PAGE_MARK}", 0)
+        span = F.regexp_replace(piece, rf"\A{PAGE_MARK}", "")
+        return F.when(F.coalesce(first & F.array_contains(pages, page), F.lit(False)), F.concat(mark, at_caption(strip_pipe_tables(span), page_block(tables, page)))).otherwise(piece)
+
+    body = F.array_join(F.transform(pieces, placed), "")
+    missing = F.reverse(F.array_sort(F.array_except(pages, F.array_compact(marks))))
+    return F.aggregate(missing, body, lambda text, page: F.concat(F.regexp_replace(text, r"\s+\z", ""), F.lit("\n\n"), page_block(tables, page), F.lit("\n")))
+
+
 def running_heads(pages: Column) -> Column:
     """Keys of lines that stand on half of the pages, three at least; none for fewer than three pages."""
     keys = F.flatten(F.transform(pages, lambda p: F.array_distinct(F.filter(F.transform(F.split(p, "\n"), furniture_key), lambda k: k != ""))))

@@ -92,3 +92,23 @@ def page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
         M.is_page_scan(own, page, F.when(part % 2 == 0, "c"), line).alias("scan"),
         M.page_kind(part % 7 == 0, supp * 300, line / 50, part % 2 == 0).alias("kind"),
     )
+
+
+# Two pages, the first with a caption, the second with a lossy twin of its table; and an extraction of two sections.
+PAGES = "'Intro' || chr(10) || '<!-- page:1 -->' || chr(10) || 'Text one.' || chr(10) || chr(10) || CASE WHEN p_partkey % 2 = 0 THEN '**Table 1.** All of ' || p_brand ELSE 'No table of ' || p_brand END || chr(10) || chr(10) || 'after it' || chr(10) || '<!-- page:2 -->' || chr(10) || 'Prose' || chr(10) || '| old | twin |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |' || chr(10)"
+EXTRACTED = "'| a | b |' || chr(10) || '|---|---|' || chr(10) || '| ' || p_size || ' | x |' || chr(10) || chr(10) || '{1}----------' || chr(10) || chr(10) || 'said' || chr(10) || chr(10) || '| c | d |' || chr(10) || '|---|---|' || chr(10) || '| ' || p_partkey || ' | y |' || chr(10)"
+
+
+def block_sql(page: str, head: str, cell: str) -> str:
+    return f"'<!-- table:marker:page={page}:begin -->' || chr(10) || '| {head} |' || chr(10) || '|---|---|' || chr(10) || '| ' || {cell} || ' |' || chr(10) || '<!-- table:marker:page={page}:end -->'"
+
+
+@query(f"""WITH p AS (SELECT p_partkey, {block_sql("1", "a | b", "p_size || ' | x'")} AS one, {block_sql("2", "c | d", "p_partkey || ' | y'")} AS two, {block_sql("7", "c | d", "p_partkey || ' | y'")} AS seven, p_brand FROM part
+), f AS (SELECT *, 'Intro' || chr(10) || '<!-- page:1 -->' || chr(10) || 'Text one.' || chr(10) || chr(10) || CASE WHEN p_partkey % 2 = 0 THEN '**Table 1.** All of ' || p_brand || chr(10) || one || chr(10) || chr(10) || 'after it' ELSE 'No table of ' || p_brand || chr(10) || chr(10) || 'after it' || chr(10) || chr(10) || one END || chr(10) || '<!-- page:2 -->' || chr(10) || 'Prose' AS head FROM p)
+SELECT p_partkey, head || CASE WHEN p_partkey % 3 = 0 THEN chr(10) || '| old | twin |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |' || chr(10) || chr(10) || seven ELSE chr(10) || chr(10) || two END || chr(10) AS placed, TRUE AS again FROM f""")
+def placed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables go to their pages' captions, to the end of a page without one, or to the end of the text; placing twice is placing once."""
+    pages = F.when(F.col("p_partkey") % 3 == 0, F.array(F.lit(1), F.lit(7))).otherwise(F.array(F.lit(1), F.lit(2)))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(PAGES).alias("md"), M.paged_tables(F.expr(EXTRACTED), pages).alias("t"))
+    once = rows.select("p_partkey", "t", M.place_tables(F.col("md"), F.col("t")).alias("placed"))
+    return once.select("p_partkey", "placed", (M.place_tables(F.col("placed"), F.col("t")) == F.col("placed")).alias("again"))

@@ -38,7 +38,7 @@ def test_titles_and_authors(spark):
         ("# Abstract\n# Short\n## J. Physiol. (1952) 117, 500-544\n### A title that is long enough to \\mark_ [1] it\n\nby A. B. Carr & D. Edge\n", None),
         ("**A bold line as title**\n# **Lena Ros** and **Ola Var**", None),
         ("plain line\n" + "filler, and\n" * 3 + "# Under exclusive licence to nobody", None),
-        ("# The one true title here\nDepartment of All, Here\nWe, and others\n" + "x\n" * 12 + "Ann Too, Late", None),
+        ("# The one true title here\nDepartment of All, Here\nWe, and others\n" + "x\n" * 13 + "Ann Too, Late", None),
         ("# The one true title here\n1 of 9\n-----\nAnn Not, Late\n", None),
     )
     assert got[0][:2] == ("A title that is long enough to mark it", "A. B. Carr & D. Edge")
@@ -48,7 +48,7 @@ def test_titles_and_authors(spark):
 
 
 def test_identifiers_confidence_and_odd_rows(spark):
-    got = fields(spark, ("see https://doi.org/10.1000/abc.1). and 10.2000/x", None), ("10.2000/X;", None), (None, None), ("", None), ("# " + "t" * 9 + "\n" + "y" * 100_000 + "10.1/x", None))
-    assert [got[k][3] for k in range(5)] == ["10.1000/abc.1", "10.2000/X", None, None, None]
+    got = fields(spark, ("see https://doi.org/10.1000/abc.1). and 10.3000/x", None), ("10.3000/X;", None), (None, None), ("", None), ("# " + "t" * 9 + "\n" + "y" * 100_000 + "10.1/x", None))
+    assert [got[k][3] for k in range(5)] == ["10.1000/abc.1", "10.3000/X", None, None, None]
     assert got[0][4] == 0.25 and got[2] == (None, None, None, None, 0.0) and got[4][0] is None
     assert metadata.extract(spark.createDataFrame([], "doc_id long, text string")).count() == 0
