@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import TOKEN, TOKEN_PART, doc_hash
 from lectern.operators import index, keywords, retrieve
+from lectern.operators.scratch import materialize
 from lectern.plans.registry import query, table, texts
 
 FOLD = "replace(lower(coalesce({0}, '')), 'ß', 'ss')"
@@ -219,7 +220,7 @@ GREEDY_SQL = """list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(r
 SELECT e.doc, e.term, s.score, CAST(e.rank AS INT) AS rank FROM e JOIN s ON e.doc = s.doc AND e.term = s.term""")
 def tfidf_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(spark, sf_dir)
-    return keywords.suppress_nested(keywords.tf_idf(keywords.doc_term_counts(docs, STOPWORDS), docs.count()))
+    return keywords.suppress_nested(keywords.tf_idf(materialize(keywords.doc_term_counts(docs, STOPWORDS), "counts"), docs.count()))
 
 
 @query("WITH " + TERMS_SQL + """, b AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM counts GROUP BY term)
