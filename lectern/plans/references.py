@@ -55,14 +55,18 @@ NAMES = ["Hodgkin, A. L.", "A. L. Hodgkin", "A. L. HODGKIN AND A. F. HUXLEY", "S
 SURNAMES = ["hodgkin", "hodgkin", "hodgkin", "suarez", "jonas", "jose", "o hara", None, None, "muller ludenscheidt", "cruz"]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, {'NULL' if s is None else repr(s)})" for k, s in enumerate(SURNAMES)) + ") AS t(k, surname)")
+# The authors of each document: one of the ways to write names, some with the document's number.
+AUTHORS = "CASE doc_id % 12 " + " ".join(f"WHEN {k} THEN '{n.replace(chr(39), chr(39) * 2)}'" for k, n in enumerate(NAMES)) + " ELSE 'Name' || chr(97 + cast(doc_id % 26 AS INT)) || ', Q. and Other, R.' END"
+
+
+@query("SELECT doc_id, CASE doc_id % 12 " + " ".join(f"WHEN {k} THEN {'NULL' if n is None else repr(n)}" for k, n in enumerate(SURNAMES)) + " ELSE 'name' || chr(97 + CAST(doc_id % 26 AS INT)) END AS surname FROM documents")
 def first_surnames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(NAMES)), "k int, authors string").select("k", R.first_surname(F.col("authors")).alias("surname"))
+    return table(spark, sf_dir, "documents").select("doc_id", R.first_surname(F.expr(AUTHORS)).alias("surname"))
 
 
-@query(f"WITH d AS (SELECT doc_id, substr(coalesce(text, ''), 1, 300) AS t FROM documents) SELECT doc_id, trim(lower(regexp_replace(strip_accents(t), '[^a-zA-Z0-9]+', ' ', 'g'))) AS name FROM d")
+@query(f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id, trim(lower(regexp_replace(strip_accents(t), '[^a-zA-Z0-9]+', ' ', 'g'))) AS name FROM d")
 def normalized_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", R.normalize_name(F.substring(F.coalesce("text", F.lit("")), 1, 300)).alias("name"))
+    return table(spark, sf_dir, "documents").select("doc_id", R.normalize_name(F.coalesce("text", F.lit(""))).alias("name"))
 
 
 # The library's papers: a doi, authors or a title that references name.

@@ -111,7 +111,14 @@ def pinned_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.match_pins(f.filter("page_id % 3 = 0"), f, once.unionByName(twice))
 
 
-@query("SELECT * FROM (VALUES ('v1.10.0', 'v1.9.9', TRUE), ('1.2', '1.2.0', FALSE), ('2.0', 'v1.99.99', TRUE), ('1.0.0', '1.0.1', FALSE), ('x', '1.0', FALSE)) AS t(a, b, newer)")
+# Versions of the documents' numbers: with and without v and a third part, and some that are none.
+CANDIDATE = "CASE doc_id % 5 WHEN 0 THEN 'v' || doc_id % 3 || '.' || doc_id % 12 || '.' || doc_id % 7 WHEN 1 THEN doc_id % 3 || '.' || doc_id % 12 WHEN 2 THEN '1.' || doc_id WHEN 3 THEN 'x' || doc_id ELSE doc_id % 3 || '.10.' || doc_id % 11 END"
+CURRENT = "CASE WHEN doc_id % 7 = 3 THEN 'none' WHEN doc_id % 2 = 0 THEN doc_id % 4 || '.9' ELSE 'v1.' || doc_id % 13 || '.' || doc_id % 4 END"
+
+
+@query(f"""WITH v AS (SELECT doc_id, {CANDIDATE} AS a, {CURRENT} AS b FROM documents), n AS (
+  SELECT *, list_transform(string_split(ltrim(a, 'v'), '.'), lambda x: TRY_CAST(x AS INT)) AS x, list_transform(string_split(ltrim(b, 'v'), '.'), lambda y: TRY_CAST(y AS INT)) AS y FROM v)
+SELECT doc_id, a, b, CASE WHEN doc_id % 5 = 3 OR doc_id % 7 = 3 THEN FALSE ELSE (x[1], x[2], coalesce(x[3], 0)) > (y[1], y[2], coalesce(y[3], 0)) END AS newer FROM n""")
 def version_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("v1.10.0", "v1.9.9"), ("1.2", "1.2.0"), ("2.0", "v1.99.99"), ("1.0.0", "1.0.1"), ("x", "1.0")], "a string, b string")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(CANDIDATE).alias("a"), F.expr(CURRENT).alias("b"))
     return rows.withColumn("newer", registry.newer_version(F.col("a"), F.col("b")))

@@ -234,10 +234,13 @@ def corpus_band_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 CVALUE_SQL = (
     "WITH "
     + TERMS_SQL
-    + """, f AS (SELECT term, CAST(sum(tf) AS BIGINT) AS freq, string_split(term, ' ') AS w FROM counts GROUP BY term), subs AS (
-  SELECT term AS sup, freq, unnest(CASE len(w) WHEN 2 THEN list_distinct(w) WHEN 3 THEN list_distinct([w[1], w[2], w[3], w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) ELSE [] END) AS sub FROM f
+    + """, f AS (SELECT term, CAST(sum(tf) AS BIGINT) AS freq, split_part(term, ' ', 1) AS x, split_part(term, ' ', 2) AS y, split_part(term, ' ', 3) AS z FROM counts GROUP BY term
+), subs AS (
+  SELECT freq, x AS sub FROM f WHERE y <> '' UNION ALL SELECT freq, y FROM f WHERE y <> '' AND y <> x
+  UNION ALL SELECT freq, z FROM f WHERE z <> '' AND z <> x AND z <> y UNION ALL SELECT freq, x || ' ' || y FROM f WHERE z <> ''
+  UNION ALL SELECT freq, y || ' ' || z FROM f WHERE z <> '' AND (y <> x OR z <> y)
 ), around AS (SELECT sub, sum(freq) / count(*) AS mean FROM subs GROUP BY sub), cv AS (
-  SELECT term, freq, round(log2(len(w) + 1) * (freq - coalesce(mean, 0)), 6) AS cvalue FROM f LEFT JOIN around ON sub = term)"""
+  SELECT term, freq, round(log2(2 + (y <> '')::INT + (z <> '')::INT) * (freq - coalesce(mean, 0)), 6) AS cvalue FROM f LEFT JOIN around ON sub = term)"""
 )
 
 
