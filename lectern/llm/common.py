@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -95,6 +96,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of what has been written out.
+
+    It does so when the driver collects its garbage, which a driver with free memory puts off for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` as a table of the shared folder, with a number for each row: identifiers may be null or repeated."""
     return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")

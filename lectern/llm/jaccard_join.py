@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import ROW_KEY, blobs, is_small, join_sized, materialize, only_ids, prepare, release, row_keys, tidy, tidy_group, without_rows
+from lectern.llm.common import ROW_KEY, blobs, forget, is_small, join_sized, materialize, only_ids, prepare, release, row_keys, tidy, tidy_group, without_rows
 from lectern.llm.graph import components
 
 #: Two sets link when DEN * |intersection| >= NUM * |union|.
@@ -380,6 +380,7 @@ def link_classes(texts: DataFrame, classes: DataFrame, n_words: int, first_round
     split = split_grams(heavy)
     dealt = postings(texts, heavy, split, max(1, -(-total // BUCKET_POSTINGS)), n_words)
     lists = materialize(dealt.groupBy("bucket").applyInArrow(tidy_group(lambda t: inverted_lists(t, split)), LISTS), "lists")
+    forget(texts.sparkSession)
     # of lists with equal members one is enough; the parts of one list are all needed, and together have its size
     whole = lists.filter("part = 0").dropDuplicates(["list"]).drop("part")
     split = lists.filter("part > 0")
@@ -397,10 +398,12 @@ def link_classes(texts: DataFrame, classes: DataFrame, n_words: int, first_round
         found = search(materialize(blocks.join(crowded, "block", "left_semi"), "blocks"), texts, classes, n_words)
         edges = materialize(found if edges is None else edges.unionByName(found), "links")
         open_lists = still_open(member, components(edges))
+        forget(texts.sparkSession)
     if not open_lists.isEmpty():
         blocks = merge_blocks(materialize(pair_chunks(open_lists), "blocks"))
         found = search(materialize(blocks, "blocks"), texts, classes, n_words)
-        edges = found if edges is None else edges.unionByName(found)
+        edges = materialize(found if edges is None else edges.unionByName(found), "links")
+        forget(texts.sparkSession)
     if edges is None:
         return classes.sparkSession.createDataFrame([], "class long, root long")
     return components(edges).withColumnRenamed("node", "class")
