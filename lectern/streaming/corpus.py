@@ -87,10 +87,11 @@ def registry_rows(spark: SparkSession, where: str) -> DataFrame:
         return spark.createDataFrame([], REGISTRY)
 
 
-def registry(spark: SparkSession, where: str) -> DataFrame:
-    """REGISTRY of every path that is there: its last row."""
+def registry(spark: SparkSession, where: str, before: int | None = None) -> DataFrame:
+    """REGISTRY of every path that is there, or was before a batch: its last row."""
     columns = [c.split()[0] for c in REGISTRY.split(", ")]
-    last = registry_rows(spark, where).groupBy("path").agg(F.max_by(F.struct(*(c for c in columns if c != "path")), F.struct("batch", "run")).alias("r"))
+    rows = registry_rows(spark, where)
+    last = (rows if before is None else rows.filter(F.col("batch") < before)).groupBy("path").agg(F.max_by(F.struct(*(c for c in columns if c != "path")), F.struct("batch", "run")).alias("r"))
     return last.select("path", *(f"r.{c}" for c in columns if c != "path")).filter("action <> 'removed'")
 
 
@@ -103,7 +104,7 @@ def take(changes: DataFrame, batch: int, root: str, where: str) -> None:
     read = changes.filter("action <> 'removed'")
     texts = extract(files(spark, root).join(read.select("path"), "path", "left_semi")).select("path", "text", "error")
     texts = materialize(texts.withColumn("doc_hash", F.when(F.trim("text") != "", doc_hash(F.col("text")))).withColumn("doc", document(F.col("doc_hash"))), "texts")
-    before = registry(spark, where).filter(F.col("batch") < batch).join(changes.select("path"), "path", "left_semi").select("doc").filter("doc IS NOT NULL").distinct()
+    before = registry(spark, where, batch).join(changes.select("path"), "path", "left_semi").select("doc").filter("doc IS NOT NULL").distinct()
     before = materialize(before, "before")
     rows = changes.join(texts.drop("text"), "path", "left").withColumn("batch", F.lit(batch).cast("long"))
     rows.select(*(c.split()[0] for c in REGISTRY.split(", "))).write.mode("overwrite").parquet(f"{where}/registry/batch_{batch}")
