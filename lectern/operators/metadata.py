@@ -22,7 +22,9 @@ HEAD_CHARS, AUTHOR_LINES, SHORTEST_TITLE, LONGEST_AUTHORS, MARKER_CHARS = 3000,
 # What a year and an identifier look like, and the words that stand before them.
 YEAR = r"(19\d{2}|20\d{2})"
 DOI, DOI_LINK = r"(?i)10\.\d{4,9}/[-._;()/:A-Z0-9]+", r"(?i)(?:https?://)?(?:dx\.)?doi\.org/(10\.\d{4,9}/[-._;()/:A-Z0-9]+)"
-PUBLISHED, SUBMITTED = rf"(?i)(?:published|copyright|©|\(c\))[\s\S]{{0,60}}?{YEAR}", rf"(?i)(?:received|accepted|submitted)[\s\S]{{0,60}}?{YEAR}"
+# A statement may run on over lines, but not into a heading, and a year is no part of a longer number.
+REACH = rf"(?:(?!\n[ \t]*#)[\s\S]){{0,60}}?(?<!\d){YEAR}(?!\d)"
+PUBLISHED, SUBMITTED = rf"(?i)(?:published|copyright|©|\(c\)){REACH}", rf"(?i)(?:received|accepted|submitted){REACH}"
 ARXIV = r"\b(\d{2})\d{2}\.\d{4,5}(?:v\d+)?\b"
 MONTH = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:t|tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 AFTER_MONTH, BEFORE_MONTH = rf"(?i){MONTH}\s+{YEAR}", rf"(?i){YEAR}\s+{MONTH}"
@@ -36,7 +38,7 @@ letter to the editor, case report, editorial, erratum, correction, systematic re
 NO_TITLE_FORMS = (
     r"(?:the author\(s\)|under (?:exclusive )?licen[cs]e|all rights reserved|©|\(c\)\s|copyright|springer nature|creative commons)",
     r"^\d+(?:\.\d+)*\.?\s+(?:introduction|methods?|results?|discussion|abstract)\b",
-    r"^[a-z][a-z .&]+\s*\(?\d{4}\)?[,;:\s]*\d+",
+    r"^[a-z][a-z .&]+\s*\(?\d{4}(?!\d)\)?[,;:\s]*\d+",
 )
 NO_LINE = r"^\s*<!--|^\s*\d+\s+of\s+\d+\s*$|^\s*\*\*=*=>|^\s*$|^\s*-----"
 NO_AUTHORS = r"(?i)\b(?:university|institute|department|laboratory|college|school|hospital|abstract|figure)\b"

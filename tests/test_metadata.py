@@ -52,3 +52,13 @@ def test_identifiers_confidence_and_odd_rows(spark):
     assert [got[k][3] for k in range(5)] == ["10.1000/abc.1", "10.3000/X", None, None, None]
     assert got[0][4] == 0.25 and got[2] == (None, None, None, None, 0.0) and got[4][0] is None
     assert metadata.extract(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_statements_end_at_headings_and_years_are_whole_numbers(spark):
+    got = fields(spark, ("# Copyright the owners of this\n# What comes after number 2005\n© 1998 All", None), ("Copyright 320051, 1998", None), ("Received by\nthe journal 2003", None), ("accepted 120041 of 2011", None))
+    assert [got[k][2] for k in range(4)] == [1998, 1998, 2003, 2011]
+
+
+def test_titles_may_end_in_long_numbers(spark):
+    got = fields(spark, ("# What comes after number 31525", None), ("# Journal of That (1952) 117, 500", None), ("# Journal of That 1952: 117", None))
+    assert [got[k][0] for k in range(3)] == ["What comes after number 31525", None, None]
