@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import subtokens, tokenize
+from lectern.operators import scoring
 from lectern.operators.scratch import materialize
 
 # Parameters of the ranking function.
@@ -80,23 +82,42 @@ def rank_postings(found: DataFrame, phrases: DataFrame, totals: DataFrame, k: in
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
+def rank_documents(found: DataFrame, known: scoring.Phrases, totals: DataFrame, k: int, query_type: str, inside: Column | None = None) -> DataFrame:
+    """query, doc, score, rank of documents (doc, dl, ids, tfs), the phrases of each by number; ``inside`` limits the candidates before the cut."""
+    n, avgdl = totals.select("n_docs", "avgdl").first()
+    df = np.zeros(len(known.names))
+    for p, count in found.select(F.explode("ids").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect():  # as many as the queries have phrases
+        df[p] = count
+    with np.errstate(divide="ignore", invalid="ignore"):
+        raw = np.log((n - df + 0.5) / (df + 0.5))
+    return scoring.best(found if inside is None else found.filter(inside), known, np.where(raw > 0, raw, MIN_IDF), avgdl or 1.0, k, K1, B, query_type)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", query_col: str = "item_id", query_text: str = "text", scope: Column | None = None) -> DataFrame:
     """query, doc, score, rank: the k best documents of each query, without a stored index.
 
-    The texts are read and cut into tokens once: what is kept of them, the postings of the queries'
-    tokens and each document's length, is written to the shared folder and ranked from there.
+    The texts are read and cut into tokens once: what is kept of them, the queries' phrases in each document
+    and its length, is written to the shared folder and ranked from there (``scoring``). For a query set
+    too long to be sent to every task it is postings, which are joined and ranked by shuffle.
     Statistics are those of all documents; ``scope``, a condition on documents, only limits the
     candidates, before the cut. Score and order are taken at six decimals, ties by document.
     """
     phrases = query_parts(queries, query_col, query_text)
     parts = phrase_parts(phrases)
     small = parts.count() <= BROADCAST_PARTS
+    if small:
+        inside = F.lit(True) if scope is None else F.coalesce(scope, F.lit(False))
+        known = scoring.numbered(phrases)
+        words = docs.select(F.col(id_col).alias("doc"), inside.alias("inside"), subtokens(F.col(text_col)).alias("w"))
+        found = materialize(scoring.counted(words, known), "found")
+        totals = found.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+        return rank_documents(found, known, totals, k, phrases.schema["query"].dataType.simpleString(), F.col("inside"))
     # the end of a text is one more token, which no query has; its position is the length
     end = docs.sparkSession.range(1).select(F.lit(None).cast("string").alias("phrase"), F.lit(0).alias("n_parts"), F.lit(0).alias("i"), F.lit(END).alias("term"))
     wanted = parts.unionByName(end)
     words = docs.select(F.col(id_col).alias("doc"), subtokens(F.col(text_col)).alias("w"))
     every = words.select("doc", F.size("w").cast("long").alias("dl"), F.posexplode(F.array_append("w", F.lit(END))).alias("pos", "term"))
-    found = materialize(every.join(F.broadcast(wanted) if small else wanted, "term"), "postings")
+    found = materialize(every.join(wanted, "term"), "postings")
     lengths = found.filter(F.col("term") == END)
     totals = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     inside = None if scope is None else docs.filter(scope).select(F.col(id_col).alias("doc"))

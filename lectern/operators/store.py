@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import subtokens
-from lectern.operators.index import BROADCAST_PARTS, index_fingerprint, phrase_parts, query_parts, rank_postings
+from lectern.operators.index import BROADCAST_PARTS, index_fingerprint, phrase_counts, phrase_parts, query_parts, rank_documents, rank_postings
+from lectern.operators.scoring import numbered
 from lectern.operators.scratch import materialize
 
 #: Partitions of the postings, unless a fill is told otherwise; a segment keeps its own number.
@@ -209,6 +210,17 @@ def search(spark: SparkSession, where: str, queries: DataFrame, k: int, query_co
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = read(spark, where, "postings", []).drop("bucket", "segment")
-    met = found.join(F.broadcast(parts) if n <= BROADCAST_PARTS else parts, "term").select("phrase", "n_parts", "i", "doc", "dl", F.explode("positions").alias("pos"))
     totals = read(spark, where, "docs", segments).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    if n <= BROADCAST_PARTS:
+        known = numbered(phrases)
+        held = found.join(F.broadcast(parts), "term")
+        alone = held.filter("n_parts = 1").select("phrase", "doc", "dl", F.size("positions").cast("long").alias("tf"))
+        several = phrase_counts(held.filter("n_parts > 1").select("phrase", "n_parts", "i", "doc", "dl", F.explode("positions").alias("pos")))
+        names = F.broadcast(spark.createDataFrame([(k, p) for k, p in enumerate(known.names)], "p int, phrase string"))
+        each = alone.unionByName(several.select("phrase", "doc", "dl", "tf")).join(names, "phrase").groupBy("doc", "dl").agg(F.collect_list(F.struct("p", F.col("tf").cast("int").alias("tf"))).alias("x"))
+        rows = materialize(each.select("doc", "dl", F.col("x.p").alias("ids"), F.col("x.tf").alias("tfs"), F.lit(True).alias("inside")), "met")
+        if scope is not None:
+            rows = rows.drop("inside").join(scope.select("doc", F.lit(True).alias("inside")).distinct(), "doc", "left")
+        return rank_documents(rows, known, totals, k, phrases.schema["query"].dataType.simpleString(), F.coalesce("inside", F.lit(False)))
+    met = found.join(parts, "term").select("phrase", "n_parts", "i", "doc", "dl", F.explode("positions").alias("pos"))
     return rank_postings(materialize(met, "met"), phrases, totals, k, scope)
