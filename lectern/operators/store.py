@@ -28,6 +28,8 @@ from lectern.operators.scratch import materialize
 
 #: Partitions of the postings, unless a fill is told otherwise; a segment keeps its own number.
 TERM_BUCKETS = 64
+#: Documents whose postings a task holds at once.
+DOCS_HELD = 256
 #: Tombstones are broadcast up to so many.
 BROADCAST_DEAD = 1 << 18
 MANIFEST = "version long, segment string, n long, buckets int, dead string"
@@ -89,9 +91,10 @@ def by_term(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """term, doc, dl, positions of documents (doc, w): each term once for each document."""
     names = ["term", "doc", "dl", "positions"]
     kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
-    for batch in it:
+    for batch, a in ((b, a) for b in it for a in range(0, b.num_rows, DOCS_HELD)):
+        part = batch.slice(a, DOCS_HELD)
         columns: tuple[list, ...] = ([], [], [], [])
-        for doc, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for doc, words in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
             places: dict[str, list[int]] = {}
             for k, word in enumerate(words):
                 places.setdefault(word, []).append(k)

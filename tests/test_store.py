@@ -76,3 +76,11 @@ def test_a_frequent_term_lies_in_several_files(spark, tmp_path):
     spark.conf.unset(key)
     own = store.read(spark, where, "postings").filter("term = 'common'").selectExpr("input_file_name() AS f").distinct()
     assert own.count() > 1
+
+
+def test_postings_are_held_for_some_documents_at_a_time():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([["a", "b", "a"]] * 1000)], names=["doc", "w"])
+    parts = list(store.by_term(iter([batch])))
+    assert max(p.num_rows for p in parts) <= 2 * 256 and sum(p.num_rows for p in parts) == 2000
