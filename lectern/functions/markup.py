@@ -5,6 +5,8 @@ A box is a struct of x0, y0, x1, y1. Nulls give nulls unless said otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,27 +118,37 @@ def at_caption(span: Column, block: Column) -> Column:
     return F.when(span.rlike(TABLE_CAPTION), below).otherwise(F.concat(F.regexp_replace(span, r"\s+\z", ""), F.lit("\n\n"), block, F.lit("\n")))
 
 
+def held(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is taken once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def place_tables(markdown: Column, tables: Column) -> Column:
     """The text with the ``tables`` (page, markdown) of each page at their caption, in place of the page's own pipe tables.
 
     A page is what stands from its first mark to the next mark of any page. Pages without tables stay as
     they are; tables of pages without mark come at the end, the last page first. Placing twice is placing once.
     """
-    text = strip_placed(markdown)
-    pieces = F.split(text, f"(?={PAGE_MARK})")
-    marks = F.transform(pieces, lambda p: F.nullif(F.regexp_extract(p, rf"\A{PAGE_MARK}", 1), F.lit("")).cast("int"))
-    pages = F.array_distinct(F.transform(tables, lambda t: t["page"]))
-
-    def placed(piece: Column, k: Column) -> Column:
-        page = F.element_at(marks, k + 1)
-        first = F.array_position(marks, page) == k + 1
-        mark = F.regexp_extract(piece, rf"\A{PAGE_MARK}", 0)
-        span = F.regexp_replace(piece, rf"\A{PAGE_MARK}", "")
-        return F.when(F.coalesce(first & F.array_contains(pages, page), F.lit(False)), F.concat(mark, at_caption(strip_pipe_tables(span), page_block(tables, page)))).otherwise(piece)
-
-    body = F.array_join(F.transform(pieces, placed), "")
-    missing = F.reverse(F.array_sort(F.array_except(pages, F.array_compact(marks))))
-    return F.aggregate(missing, body, lambda text, page: F.concat(F.regexp_replace(text, r"\s+\z", ""), F.lit("\n\n"), page_block(tables, page), F.lit("\n")))
+
+    def of_pieces(pieces: Column, tables: Column) -> Column:
+        marks = F.transform(pieces, lambda p: F.nullif(F.regexp_extract(p, rf"\A{PAGE_MARK}", 1), F.lit("")).cast("int"))
+        pages = F.array_distinct(F.transform(tables, lambda t: t["page"]))
+        return held(marks, lambda marks: held(pages, lambda pages: body(pieces, marks, pages, tables)))
+
+    def body(pieces: Column, marks: Column, pages: Column, tables: Column) -> Column:
+        def placed(piece: Column, k: Column) -> Column:
+            page = F.element_at(marks, k + 1)
+            first = F.array_position(marks, page) == k + 1
+            mark = F.regexp_extract(piece, rf"\A{PAGE_MARK}", 0)
+            span = strip_pipe_tables(F.regexp_replace(piece, rf"\A{PAGE_MARK}", ""))
+            own = held(span, lambda span: held(page_block(tables, page), lambda block: F.concat(mark, at_caption(span, block))))
+            return F.when(F.coalesce(first & F.array_contains(pages, page), F.lit(False)), own).otherwise(piece)
+
+        missing = F.reverse(F.array_sort(F.array_except(pages, F.array_compact(marks))))
+        whole = F.array_join(F.transform(pieces, placed), "")
+        return F.aggregate(missing, whole, lambda text, page: F.concat(F.regexp_replace(text, r"\s+\z", ""), F.lit("\n\n"), page_block(tables, page), F.lit("\n")))
+
+    return held(F.split(strip_placed(markdown), f"(?={PAGE_MARK})"), lambda pieces: held(tables, lambda tables: of_pieces(pieces, tables)))
 
 
 def running_heads(pages: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import markup as M
+from lectern.operators.scratch import spread
 from lectern.plans.registry import query, table
 
 CELLS = "[[p_brand, replace(p_name, 'a', '|'), CASE WHEN p_size > 25 THEN p_type END], [CAST(p_size AS VARCHAR), '  x  y ']]"
@@ -109,6 +110,9 @@ SELECT p_partkey, head || CASE WHEN p_partkey % 3 = 0 THEN chr(10) || '| old | t
 def placed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables go to their pages' captions, to the end of a page without one, or to the end of the text; placing twice is placing once."""
     pages = F.when(F.col("p_partkey") % 3 == 0, F.array(F.lit(1), F.lit(7))).otherwise(F.array(F.lit(1), F.lit(2)))
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(PAGES).alias("md"), M.paged_tables(F.expr(EXTRACTED), pages).alias("t"))
-    once = rows.select("p_partkey", "t", M.place_tables(F.col("md"), F.col("t")).alias("placed"))
-    return once.select("p_partkey", "placed", (M.place_tables(F.col("placed"), F.col("t")) == F.col("placed")).alias("again"))
+
+    def twice(t: Column) -> Column:
+        return M.held(M.place_tables(F.expr(PAGES), t), lambda placed: F.struct(placed.alias("placed"), (M.place_tables(placed, t) == placed).alias("again")))
+
+    rows = spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", M.held(M.paged_tables(F.expr(EXTRACTED), pages), twice).alias("x"))
+    return rows.select("p_partkey", "x.placed", "x.again")
