@@ -27,7 +27,7 @@ from lectern.operators.scratch import materialize
 #: Vectors a list should have, lists there are at most, sampled vectors a list, and rounds of the fit.
 LIST_ROWS, MOST_LISTS, SAMPLE_ROWS, FIT_ROUNDS = 4096, 1024, 64, 8
 #: Members and queries of one block.
-MEMBER_BLOCK, QUERY_BLOCK = 8192, 4096
+MEMBER_BLOCK, QUERY_BLOCK = 8192, 16384
 DIGITS = 5
 #: Angles are compared with this much room for their rounding.
 ROOM = 1e-6
@@ -120,7 +120,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, threshold: float, k: int
     sizes = members.groupBy("list").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()  # at most MOST_LISTS rows
     radii = np.full(len(centroids), -1.0)
     radii[[r.list for r in sizes]] = [r.radius for r in sizes]
-    asked = materialize(probing(unit(queries), centroids, radii, threshold, probes), "probes")
+    asked = probing(unit(queries), centroids, radii, threshold, probes)  # taken twice rather than written, as each query stands under every list that it reads
     parts = asked.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("q_parts"))
     spark = vectors.sparkSession
     own = spark.createDataFrame([(r.list, -(-r.n // MEMBER_BLOCK)) for r in sizes], "list int, m_parts long")
@@ -143,10 +143,17 @@ def neighbours(vectors: DataFrame, queries: DataFrame, threshold: float, k: int
             return arrow.empty_table()
         ids, wanted = own.column("id").combine_chunks(), asked.column("id").combine_chunks()
         m, q = matrix(own.column("v")), matrix(asked.column("v"))
+        names = ids.to_numpy(zero_copy_only=False)
+        same = int(np.unique(names, return_counts=True)[1].max())  # rows that may be the query's own
         out = []
         for a in range(0, len(q), 256):  # 256 queries' scores at a time
             scores = np.round(q[a : a + 256] @ m.T, DIGITS)
             row, at = np.nonzero(scores >= threshold)
+            if k is not None:  # no more than k of a block can be among a query's k; one more stands in for itself
+                best = np.lexsort((names[at], -scores[row, at], row))
+                row, at = row[best], at[best]
+                kept = np.arange(len(row)) - np.searchsorted(row, row) < k + same
+                row, at = row[kept], at[kept]
             table = pa.table([wanted.take(pa.array(row + a)), ids.take(pa.array(at)), pa.array(scores[row, at])], schema=arrow)
             out.append(table.filter(pa.compute.not_equal(table.column("query"), table.column("doc"))))
         return pa.concat_tables(out)

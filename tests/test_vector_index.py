@@ -68,3 +68,11 @@ def test_empty_and_anchors(spark):
     got = sorted(tuple(r) for r in index.anchor_ranked(counts, terms, anchors, 2, pool=3).collect())
     assert got == sorted([(1, "a", 0.99504, 1), (1, "c", 0.0995, 2), (2, "b", 0.0, 1), (2, "a", 0.0, 2), (3, "a", 0.0, 1)])
     assert {(r.doc, r.term) for r in index.anchor_ranked(counts, terms, anchors, 9, pool=1).collect()} == {(1, "c"), (2, "b"), (3, "a")}
+
+
+def test_blocks_send_no_more_than_the_best(spark):
+    rows = clustered(np.random.default_rng(4), 300)
+    rows += [(k, rows[7][1]) for k in (7, 7, 1000, 1001, 1002)]  # copies, some of one identifier
+    got = index.similarity_edges(table(spark, rows), 0.3, 2)
+    assert {(r.query, r.doc) for r in got.filter("query <> 7").collect()} == {(i, j) for i, j, _ in brute(rows, 0.3, 2) if i != 7}
+    assert {r.doc for r in got.filter("query = 7").collect()} == {1000}  # each of the three rows of 7 ranks it first
