@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from lectern.operators import bridges, communities
 from lectern.operators.scratch import materialize
-from lectern.plans.corpus import VOCABULARY_SQL, cooccurrence, presence_table
+from lectern.plans.corpus import VOCABULARY_SQL, pairs_of, presence_table
 from lectern.plans.registry import query, table
 
 
 def concept_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The vocabulary, and its pairs in documents with their weights."""
-    return presence_table(spark, sf_dir).select(F.col("term").alias("node")).distinct(), cooccurrence(spark, sf_dir)
+    presence = presence_table(spark, sf_dir)
+    return presence.select(F.col("term").alias("node")).distinct(), materialize(pairs_of(presence), "pairs")
 
 
 @query()
@@ -35,7 +36,6 @@ SELECT count(*) AS n_nodes, CAST(sum(degree) AS BIGINT) AS ends, round(sum(k), 3
 def community_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node has one community, the numbers have no gap, and modularity, taken anew from the labels, is not below that of one community."""
     nodes, edges = concept_graph(spark, sf_dir)
-    edges = materialize(edges, "pairs")
     members, groups = communities.skeleton(nodes, edges)
     members = materialize(members, "members")
     better = communities.modularity(members.select("node", "community"), edges) >= 0
