@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators import keywords, vector_index
-from lectern.operators.scratch import materialize
+from lectern.operators import pools, vector_index
 from lectern.plans.registry import query, table, texts
 from lectern.plans.search import STOPWORDS, TERMS_SQL
 
@@ -42,7 +41,5 @@ ANCHOR_SQL = f"""{TERMS_SQL}, words AS (SELECT doc, term, tf FROM counts WHERE N
 @query(f"WITH {ANCHOR_SQL} SELECT doc, term, score, CAST(row_number() OVER (PARTITION BY doc ORDER BY place, score DESC, term) AS INT) AS rank FROM scored QUALIFY rank <= 15")
 def anchor_ranked_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A term's vector is the mean of those of the documents in whose pools it stands; a document's anchor is its own."""
-    counts = materialize(keywords.doc_term_counts(texts(spark, sf_dir), STOPWORDS, ngram_max=1), "words")
     anchors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("anchor"))
-    terms = vector_index.pooled(vector_index.frequent(counts).join(anchors, "doc"), "term", "anchor", 64)
-    return vector_index.anchor_ranked(counts, terms, anchors, 15)
+    return pools.pool_ranked(pools.pools(texts(spark, sf_dir), STOPWORDS), anchors, 15)
