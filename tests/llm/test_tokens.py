@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from itertools import product
 
 import pyarrow as pa
 
@@ -23,8 +24,7 @@ def test_accented_words_need_no_cutting():
 
 def test_words_are_encoded_once():
     e = tokens.Encoder(tokens.vocabulary_path())
-    letters = "abcdefghij"
-    text = " ".join(f"{a}{b}é{k}" for k in range(2300) for a in letters for b in letters)  # 230,000 different words
+    text = " ".join(map("".join, product("abcdefghijklmnopqrstuv", repeat=4)))  # 234,256 different words
     first = e(text)
     calls = []
     for memo in (e.first, e.spaced):
