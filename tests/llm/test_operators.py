@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lectern.llm import decontaminate, exact_dedup, graph, jaccard_join, language_id, packing, quality, secrets, substring_dedup, token_output, tokens, url_filter
@@ -153,6 +154,63 @@ def test_divide_skip_counts_exactly():
         assert [[i == j for j in got] for i in got] == [[i == j for j in parent] for i in parent]
 
 
+def test_jaccard_searches_no_block_twice(spark, monkeypatch):
+    rng = random.Random(5)
+    passage = [f"p{k}" for k in range(60)]
+    rows = []
+    for k in range(40):  # every document has part of the passage, so lists stay open after the first round
+        start = rng.randrange(0, 25)
+        rows.append((k, " ".join(passage[start : start + rng.randrange(20, 36)] + [f"u{k}.{j}" for j in range(rng.randrange(0, 12))])))
+    searched = []
+    search = jaccard_join.search
+
+    def counted(blocks, *rest):
+        searched.append(blocks.count())
+        return search(blocks, *rest)
+
+    monkeypatch.setattr(jaccard_join, "search", counted)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(table(spark, rows)).collect())
+    assert got == brute_groups(rows)
+    assert len(searched) == 2  # the largest lists, then those still open; no list is larger than a block
+
+
+def test_word_hashes_are_those_of_words():
+    rng = random.Random(9)
+    parts = ["a", "B", " ", " ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x85", "é", "\x00", "日", "z" * 9, "y" * 70]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(400)] + ["", None, " ", "a", "x" * 64, "x" * 65]
+    hashes, at = jaccard_join.word_hashes(pa.array(texts))
+    split = [(t or "").encode().lower().split() for t in texts]
+    assert np.diff(at).tolist() == [len(w) for w in split]
+    pairs = set(zip([w for words in split for w in words], hashes.tolist(), strict=True))
+    assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+    sizes = [len({tuple(w[k : k + min(5, len(w))]) for k in range(max(1, len(w) - 4))}) if w else 0 for w in split]
+    assert [len(s) for s in jaccard_join.gram_sets(pa.array(texts))] == sizes
+
+
+@pytest.mark.parametrize("paired", [256, 3])
+def test_jaccard_lists_keep_every_link(monkeypatch, paired):
+    monkeypatch.setattr(jaccard_join, "PAIRED", paired)
+    rng = np.random.default_rng(4)
+    dropped = 0
+    for _ in range(40):
+        base = rng.choice(200, 40, replace=False)
+        sets = []
+        for _ in range(15):
+            some = np.where(rng.random(40) < rng.random() * 0.3, rng.integers(0, 400, 40), base)[: rng.integers(20, 41)]
+            sets.append(np.unique(some).astype(np.uint64))
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        known, counts = np.unique(np.concatenate(sets), return_counts=True)
+        rows = [(int(g), k, len(s) + (place << 32)) for k, s in enumerate(sets) for place, g in enumerate(jaccard_join.prefix(s, (known, counts)).tolist())]
+        packed = np.array(rows, np.int64).T
+        lists = jaccard_join.inverted_lists(pa.table({"rows": pa.array([packed.tobytes()], pa.binary())}), none)
+        assert all(n == len(sets[c]) for r in lists.to_pylist() for c, n in zip(r["classes"], r["sizes"], strict=True))
+        met = {(a, b) for members in lists.column("classes").to_pylist() for a in members for b in members if a < b}
+        linked = {(a, b) for b in range(15) for a in range(b) if 4 * len(np.intersect1d(sets[a], sets[b])) >= 3 * len(np.union1d(sets[a], sets[b]))}
+        assert linked <= met
+        dropped += len(rows) - sum(lists.column("size").to_pylist())
+    assert dropped
+
+
 @pytest.mark.parametrize("block", [1 << 20, 3000])
 def test_substring_dedup(spark, corpus, block, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", block)  # the small one deals hot fingerprints by string
