@@ -211,6 +211,35 @@ def test_jaccard_lists_keep_every_link(monkeypatch, paired):
     assert dropped
 
 
+def test_long_lists_keep_only_members_that_may_link():
+    rng = np.random.default_rng(6)
+    for trial in range(60):
+        size = rng.integers(1, 40, rng.integers(1, 5))
+        gram = np.repeat(np.arange(len(size)), size)
+        n = rng.integers(1, 12 if trial % 2 else 200, len(gram))
+        rest = np.maximum(1, (n * rng.random(len(gram)) ** 0.3).astype(np.int64))
+        want = [any(a != b and gram[a] == gram[b] and 7 * min(rest[a], rest[b]) >= 3 * (n[a] + n[b]) for b in range(len(gram))) for a in range(len(gram))]
+        assert jaccard_join.paired_by_order(gram, n, rest).tolist() == want
+    # 400 sets meet in a gram that most have at their end
+    rows = np.stack([np.zeros(400, np.int64), np.arange(400), 100 + (np.where(np.arange(400) < 2, 5, 90) << 32)])
+    kept = jaccard_join.partnered(rows, np.zeros(400, bool))
+    assert np.flatnonzero(kept).tolist() == [0, 1]
+
+
+def test_jaccard_lists_meet_the_groups_once(spark, corpus, monkeypatch):
+    seen, real = [], jaccard_join.still_open
+
+    def counted(member, groups):
+        seen.append((member.count(), member.filter("grams <= 2000").count()))
+        return real(member, groups)
+
+    monkeypatch.setattr(jaccard_join, "still_open", counted)
+    monkeypatch.setattr(jaccard_join, "BLOCK_GRAMS", 2000)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(table(spark, corpus)).collect())
+    assert got == brute_groups(corpus)
+    assert len(seen) == 2 and seen[0][0] and not seen[0][1] and seen[1][1]  # lists of several chunks for the second round, then all once
+
+
 @pytest.mark.parametrize("block", [1 << 20, 3000])
 def test_substring_dedup(spark, corpus, block, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", block)  # the small one deals hot fingerprints by string
